@@ -1,0 +1,184 @@
+"""Plans over contracts, conventions, decisions, drift, intents and the workspace."""
+
+from __future__ import annotations
+
+from strata.functions.dialect import Spark
+from strata.sources.relations import REQUIRED
+
+AS_OF = "date '1999-01-01'"
+
+
+def scope_match(d: Spark) -> str:
+    ok = "(lang = '' or lang = f_lang) and (exclude = '' or not {ex}) and (include = '' or {inc})"
+    ok = ok.format(ex="regexp_like(path, exclude)" if d.name == "spark" else "regexp_matches(path, exclude)", inc="regexp_like(path, include)" if d.name == "spark" else "regexp_matches(path, include)")
+    return f"select contract_id, path from (select path, lang as f_lang from file) f cross join scope where {ok}"
+
+
+def contracts_by_priority(d: Spark) -> str:
+    return "select contract_id, priority, row_number() over (order by priority desc, contract_id) as place from scope"
+
+
+def pattern_violations(d: Spark) -> str:
+    return "select contract_id, rule_id, path, no, matched from hit"
+
+
+def required_pattern(d: Spark) -> str:
+    return " union all ".join(f"select '{c}' as contract_id, '{r}' as rule_id, path from file where not {d.like('content', p)}" for c, r, p in REQUIRED)
+
+
+def _n_lines() -> str:
+    return "length(content) - length(replace(content, chr(10), '')) + 1"
+
+
+def max_lines(d: Spark) -> str:
+    return f"select contract_id, path, n_lines from (select path, {_n_lines()} as n_lines from file) f join limit_rule on metric = 'max_lines' and n_lines > threshold"
+
+
+def max_function_lines(d: Spark) -> str:
+    return "select contract_id, node_id, line_end - line_start + 1 as span from node join limit_rule on metric = 'max_function_lines' and line_end - line_start + 1 > threshold where kind in ('function', 'method')"
+
+
+def effective_severity(d: Spark) -> str:
+    return f"select rule_id, case when {AS_OF} > {d.days('date ' + chr(39) + '1998-12-01' + chr(39), 'ord * 20')} then 'error' else severity end as severity, case severity when 'warning' then 'error' else severity end as strict_severity from rule"
+
+
+def evaluation_rollup(d: Spark) -> str:
+    return "select path, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity = 'error') > 0 as blocking from hit group by path"
+
+
+def threshold_conflicts(d: Spark) -> str:
+    return f"select metric, {d.strings('contract_id || ' + chr(39) + ':' + chr(39) + ' || threshold', 'priority desc, contract_id')} as details from limit_rule group by metric having count(distinct threshold) > 1"
+
+
+def rule_precision_vs_labels(d: Spark) -> str:
+    return "select rule_id, count(*) as labelled, count(*) filter (where quality = 0) as on_low_quality, count(*) filter (where toxic = 1) as on_toxic from (select distinct rule_id, doc_id from hit join file using (path)) h join $labels using (doc_id) group by rule_id"
+
+
+def convention_ratio(d: Spark) -> str:
+    follow, against = d.like("content", r"\b(the|und|les|los)\b"), d.like("content", r"\|")
+    return f"""select source, followed, broken, cast(round(1.0 * followed / (followed + broken), 4) as double) as confidence from (select source, count(*) filter (where {follow} and not {against}) as followed, count(*) filter (where {against}) as broken from file group by source) t
+      where followed + broken >= 3 and followed > broken and 1.0 * followed / (followed + broken) >= 0.7"""
+
+
+def naming_distinct(d: Spark) -> str:
+    return f"select source, count(distinct name) as names from ({d.unroll('source', 'file', d.every('content', '[a-z]+tion', 0), 'name')}) x group by source having count(distinct name) >= 3"
+
+
+def mirror_coverage(d: Spark) -> str:
+    return """select cast(count(*) as bigint) as sources, cast(count(t.stem) as bigint) as mirrored, 100.0 * count(t.stem) / count(*) >= 30 as enough from (select distinct kind || (node_id % 300) as stem from node where not is_test) s
+      left join (select distinct kind || (node_id % 300) as stem from node where is_test) t using (stem)"""
+
+
+def docstring_ratio(d: Spark) -> str:
+    return "select file_path, functions, documented, 10 <= functions and 100 * documented >= 60 * functions as convention from (select file_path, count(*) as functions, count(*) filter (where node_id % 3 > 0) as documented from node where kind in ('function', 'method') group by file_path) t"
+
+
+def _asked(d: Spark) -> str:
+    return "select distinct file_path as want from node where node_id % 400 = 1"
+
+
+def decision_relevance(d: Spark) -> str:
+    def head(x: str, n: int) -> str:
+        return " || '/' || ".join(d.part(x, "/", i) for i in range(1, n + 1))
+
+    ladder = f"case when file_path = want then 1.0 when {head('file_path', 2)} = {head('want', 2)} then 0.5 when {d.part('file_path', '/', 1)} = {d.part('want', '/', 1)} then 0.2 else 0.0 end"
+    # anchors meet the asked files (a stated, bounded request) file by file, so the pair count is files x files
+    return f"""select id, cast(coalesce(score, 0.1) as double) as score from decision left join (select a.decision as num, max(score) as score from (select distinct decision, file_path from decision_anchor) a
+      join (select file_path, max({ladder}) as score from (select distinct file_path from decision_anchor) f cross join ({_asked(d)}) w group by file_path) s using (file_path) group by a.decision) x using (num)
+      where status not in ('superseded', 'expired') and coalesce(score, 0.1) >= 0.1"""
+
+
+def decisions_by_tag(d: Spark) -> str:
+    return "select id from decision where tag_a in ('tag1', 'tag3') or tag_b in ('tag1', 'tag3')"
+
+
+def anchor_overlap(d: Spark) -> str:
+    return """select a_id, b_id, file_path, a_anchor, b_anchor from (select a.decision as a_id, b.decision as b_id, a.file_path, a.anchor as a_anchor, b.anchor as b_anchor,
+      row_number() over (partition by a.decision, b.decision order by a.anchor, b.anchor) as rn from decision_anchor a join decision_anchor b on a.file_path = b.file_path and a.decision < b.decision
+      and (a.line_start is null or b.line_start is null or (a.line_start <= b.line_end and b.line_start <= a.line_end)) join (select num from decision where status = 'active') x on a.decision = x.num
+      join (select num from decision where status = 'active') y on b.decision = y.num) t where rn = 1"""
+
+
+def supersede_conflicts(d: Spark) -> str:
+    return "select a.id as newer, b.id as older from decision a join decision b on a.supersedes = b.num where a.status = 'active' and b.status = 'active'"
+
+
+def next_decision_id(d: Spark) -> str:
+    return "select 'DEC-' || case when n > 999 then cast(n as varchar(9)) else lpad(cast(n as varchar(9)), 3, '0') end as next_id from (select coalesce(max(num), 0) + 1 as n from decision) t"
+
+
+_LIVE = "(select distinct file_path from node where node_id % 3 > 0)"
+
+
+def decision_drift(d: Spark) -> str:
+    orphan = f"(select distinct a.decision as num from decision_anchor a left join {_LIVE} l using (file_path) where l.file_path is null)"
+    return f"""select id, 'stale' as problem, 'medium' as level from decision where status = 'active' and {AS_OF} > review_by
+      union all select id, 'expired constraint', 'high' from decision where status = 'active' and num % 4 = 1 and {AS_OF} > {d.days("date '1998-01-01'", 'num')}
+      union all select id, 'orphaned anchor', case when {AS_OF} > review_by then 'high' else 'medium' end from decision join {orphan} o using (num) where status = 'active'"""
+
+
+def decision_drift_for_files(d: Spark) -> str:
+    return f"select id, file_path, count(*) as anchors, 'low' as level from decision join decision_anchor on decision = num join ({_asked(d)}) w on want = file_path where status = 'active' group by id, file_path"
+
+
+def change_classification(d: Spark) -> str:
+    return "select coalesce(l.path, s.path) as path, case when l.path is null then 'deleted' when s.path is null then 'new' when l.hash <> s.hash then 'changed' else 'same' end as state from live_print l full outer join stored_print s on l.path = s.path"
+
+
+def graph_drift(d: Spark) -> str:
+    return f"select path, case state when 'deleted' then 'high' else 'medium' end as level from ({change_classification(d)}) c where state in ('deleted', 'changed')"
+
+
+def incremental_plan(d: Spark) -> str:
+    return f"select state, count(*) as files from ({change_classification(d)}) c group by state"
+
+
+def drift_overall(d: Spark) -> str:
+    items = f"select level from ({decision_drift(d)}) a union all select level from ({graph_drift(d)}) b"
+    return f"select level, count(*) as items, max(rank) over () as overall_rank from (select level, case level when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 4 end as rank from ({items}) i) t group by level, rank"
+
+
+def context_rot(d: Spark) -> str:
+    orphan = f"(select distinct a.decision as num from decision_anchor a left join {_LIVE} l using (file_path) where l.file_path is null)"
+    return f"""select total, stale, orphaned, total >= 5 and 1.0 * (stale + orphaned) / total >= 0.3 as rot from (select count(*) as total, count(*) filter (where {AS_OF} > review_by) as stale, count(o.num) as orphaned from decision left join {orphan} o using (num)) t"""
+
+
+def anchor_region_hash(d: Spark) -> str:
+    region = "array_join(slice(split(content, '\\n', -1), 2, 3), '\\n')" if d.name == "spark" else "array_to_string(string_split(content, chr(10))[2:4], chr(10))"
+    return f"select path, {d.lower_hex(region)} as hash from file where {_n_lines()} >= 4"
+
+
+def criteria_eval(d: Spark) -> str:
+    return f"""select 1 as criterion, 'file_exists' as kind, count(*) > 0 as passed from file where path = 'src0/fr/d0.txt'
+      union all select 2, 'file_contains', count(*) > 0 from file where path = 'src0/fr/d0.txt' and {d.like('content', 'Elle')}
+      union all select 3, 'function_exists', count(*) > 0 from node where kind = 'function' and name = 'no_such_name'
+      union all select 4, 'grep_match', count(*) > 0 from line where {d.like('line', 'Licensed under')}
+      union all select 5, 'grep_no_match', count(*) = 0 from line where {d.like('line', '-----BEGIN')}
+      union all select 6, 'manual', false"""
+
+
+def intent_rollup(d: Spark) -> str:
+    return f"""select intent, total, passed, case when total = 0 then 'active' when passed = total then 'verified' when passed > 0 then 'partial' else 'failed' end as status, cast(case when total > 0 then round(100.0 * passed / total, 1) else 0 end as double) as completion_pct
+      from (select criterion % 2 as intent, count(*) as total, count(*) filter (where passed) as passed from ({criteria_eval(d)}) c group by criterion % 2) t"""
+
+
+def project_routing(d: Spark) -> str:
+    # roots are prefixes of whole path parts, so each file has two candidates: an equi join, no prefix test
+    return "select path, max_by(root, length(root)) as root from (select path, source as cand from file union all select path, source || '/' || lang from file) f join project on cand = root group by path"
+
+
+def anchor_shorthand(d: Spark) -> str:
+    p = "^(.*?)(:([0-9]+)(-([0-9]+))?)?$"
+    x = "(select anchor, case when line_start is null then file_path when anchor % 3 = 0 then file_path || ':' || line_start else file_path || ':' || line_start || '-' || line_end end as s from decision_anchor) t"
+    return f"select anchor, {d.first('s', p, 1)} as file_path, nullif({d.first('s', p, 3)}, '') as line_start, nullif({d.first('s', p, 5)}, '') as line_end from {x}"
+
+
+def comment_lines(d: Spark) -> str:
+    return f"select lang, count(*) filter (where {d.like('trim(line)', '^(#|//|/[*]|[*])')}) as comments, count(*) as n_lines from line group by lang"
+
+
+def language_files(d: Spark) -> str:
+    return "select lang, count(*) as files, cast(sum(length(content)) as bigint) as chars from file group by lang"
+
+
+PLANS = (scope_match, contracts_by_priority, pattern_violations, required_pattern, max_lines, max_function_lines, effective_severity, evaluation_rollup, threshold_conflicts, rule_precision_vs_labels, convention_ratio, naming_distinct, mirror_coverage, docstring_ratio, decision_relevance, decisions_by_tag, anchor_overlap, supersede_conflicts, next_decision_id, decision_drift, decision_drift_for_files, change_classification, graph_drift, incremental_plan, drift_overall, context_rot, anchor_region_hash, criteria_eval, intent_rollup, project_routing, anchor_shorthand, comment_lines, language_files)

@@ -1,0 +1,121 @@
+"""Plans over usage, feedback, commits and services."""
+
+from __future__ import annotations
+
+from strata.functions.dialect import Spark
+
+#: words that mark a commit as a decision, matched anywhere in the message
+KEYWORDS = ("the", "und", "que", "les", "ing")
+AS_OF = "date '2024-01-29'"
+
+_SUMS = "count(*) as requests, cast(sum(naive) as bigint) as naive, cast(sum(graph) as bigint) as graph, cast(sum(full_tokens) as bigint) as full_tokens, cast(sum(decisions) as bigint) as decisions, cast(sum(contracts) as bigint) as contracts, cast(sum(drift) as bigint) as drift"
+_SAVED = "naive - full_tokens as saved, case when naive > 0 then round((1 - cast(full_tokens as double) / naive) * 100, 1) else 0.0 end as reduction_pct"
+
+
+def lifetime_stats(d: Spark) -> str:
+    return f"select t.*, {_SAVED} from (select {_SUMS} from context_event) t"
+
+
+def daily_summary(d: Spark) -> str:
+    return f"select cast(day as varchar(10)) as day, requests, naive, graph, full_tokens, decisions, contracts, drift, {_SAVED} from (select day, {_SUMS} from context_event group by day) t"
+
+
+def daily_trend(d: Spark) -> str:
+    return f"select cast(day as varchar(10)) as day, requests, saved from (select day, requests, {_SAVED} from (select day, {_SUMS} from context_event group by day) t order by day desc limit 30) x"
+
+
+def before_after(d: Spark) -> str:
+    return f"select {d.idiv('naive', 'requests')} as before_tokens, {d.idiv('full_tokens', 'requests')} as after_tokens, case when full_tokens > 0 then round(cast(naive as double) / full_tokens, 1) else 0.0 end as multiplier from (select {_SUMS} from context_event) t"
+
+
+def benchmark_averages(d: Spark) -> str:
+    return f"""select run, {d.idiv('sum(naive)', 'count(*)')} as naive_avg, {d.idiv('sum(graph)', 'count(*)')} as graph_avg, {d.idiv('sum(full_tokens)', 'count(*)')} as full_avg,
+      round(avg(case when naive > 0 then (1 - cast(full_tokens as double) / naive) * 100 end), 4) as reduction_pct from (select event_id % 50 as run, cast(naive as bigint) as naive, cast(graph as bigint) as graph, cast(full_tokens as bigint) as full_tokens from context_event) t group by run""".replace("sum(naive)", "cast(sum(naive) as bigint)").replace("sum(graph)", "cast(sum(graph) as bigint)").replace("sum(full_tokens)", "cast(sum(full_tokens) as bigint)")
+
+
+def recent_events(d: Spark) -> str:
+    return "select event_id, naive, full_tokens from context_event order by event_id desc limit 20"
+
+
+def scenario_ratios(d: Spark) -> str:
+    return """select event_id, case when naive > 0 then round((1 - cast(graph as double) / naive) * 100, 2) else 0.0 end as naive_to_graph, case when naive > 0 then round((1 - cast(full_tokens as double) / naive) * 100, 2) else 0.0 end as naive_to_full,
+      case when full_tokens > 0 then round(cast(naive as double) / full_tokens, 2) else 0.0 end as multiplier from context_event"""
+
+
+def acceptance_rate(d: Spark) -> str:
+    rate = "case when count(*) > 0 then round(100.0 * count(*) filter (where feedback in ('accepted', 'modified')) / count(*), 1) else 0.0 end"
+    return f"""select cast(a.total as bigint) as total, cast(a.rate as double) as overall, cast(b.rate as double) as recent, cast(case when a.total > 10 then round(b.rate - a.rate, 1) else 0 end as double) as improvement
+      from (select count(*) as total, {rate} as rate from feedback_event) a cross join (select {rate} as rate from feedback_event where day >= {d.days(AS_OF, -7)}) b"""
+
+
+def rejection_analysis(d: Spark) -> str:
+    return "select reason, n, cast(round(100.0 * n / total, 1) as double) as pct from (select reason, count(*) as n, sum(count(*)) over () as total from feedback_event where feedback = 'rejected' group by reason) t where reason is not null"
+
+
+def acceptance_trend(d: Spark) -> str:
+    return "select cast(day as varchar(10)) as day, " + ", ".join(f"count(*) filter (where feedback = '{k}') as {k}" for k in ("accepted", "modified", "rejected", "partial")) + " from feedback_event group by day"
+
+
+def repeated_rejection_insights(d: Spark) -> str:
+    return f"select reason, count(*) as n, cast(round(least(0.9, 0.3 + 0.1 * count(*)), 2) as double) as confidence from feedback_event where feedback = 'rejected' and reason is not null and day >= {d.days(AS_OF, -30)} group by reason having count(*) >= 3"
+
+
+def context_effectiveness(d: Spark) -> str:
+    def cohort(name: str, test: str) -> str:
+        return f"select '{name}' as cohort, count(distinct session_id) as sessions, count(*) filter (where feedback in ('accepted', 'modified')) as accepted from context_session join feedback_event using (session_id) where {test}"
+
+    every = " union all ".join([cohort("with decisions", "decisions_provided > 0"), cohort("with contracts", "contracts_provided > 0"), cohort("neither", "decisions_provided = 0 and contracts_provided = 0")])
+    return f"select cohort, sessions, accepted, cast(case when sessions > 0 then round(100.0 * accepted / sessions, 1) else 0 end as double) as rate from ({every}) t"
+
+
+def commit_candidates(d: Spark) -> str:
+    k = " + ".join(f"case when strpos(lower(message), '{w}') > 0 then 1 else 0 end" if d.name == "duck" else f"case when instr(lower(message), '{w}') > 0 then 1 else 0 end" for w in KEYWORDS)
+    return f"""select ord, case when length(title) > 80 then substr(title, 1, 77) || '...' else title end as title, hits,
+      cast(round(least(0.8, 0.3 + least(0.2, 0.05 * hits) + case when length(message) > 500 then 0.15 when length(message) > 200 then 0.1 else 0 end), 2) as double) as confidence
+      from (select ord, message, title, {k} as hits from commit where not {d.like("lower(title)", "^(merge|bump|revert|fixup|wip|chore|release)")}) t where hits > 0"""
+
+
+def endpoints_extracted(d: Spark) -> str:
+    return "select service, route, ord from endpoint"
+
+
+def outbound_calls(d: Spark) -> str:
+    return "select service, url, count(*) as calls from outbound_call group by service, url"
+
+
+def url_path_normalise(d: Spark) -> str:
+    return "select distinct url, route from outbound_call"
+
+
+def _resolved(d: Spark) -> str:
+    # equal routes on another service, the first endpoint by order; an equi join, no route is tried as a pattern
+    return """select call_service, url, service as provider, route, n_candidates from (select c.service as call_service, c.url, e.service, e.route, count(*) over (partition by c.service, c.url) as n_candidates,
+      row_number() over (partition by c.service, c.url order by e.ord) as rn from (select distinct service, url, route from outbound_call) c join endpoint e on c.route = e.route and c.service <> e.service) t where rn = 1"""
+
+
+def resolve_dependencies(d: Spark) -> str:
+    return f"select call_service, url, provider, route, n_candidates from ({_resolved(d)}) r"
+
+
+def service_map(d: Spark) -> str:
+    return f"""select service, coalesce(n_endpoints, 0) as n_endpoints, coalesce(n_out, 0) as depends_on, coalesce(n_in, 0) as depended_on_by from (select distinct service from page where service <> '') s
+      left join (select service, count(*) as n_endpoints from endpoint group by service) a using (service)
+      left join (select call_service as service, count(distinct provider) as n_out from ({_resolved(d)}) r group by call_service) b using (service)
+      left join (select provider as service, count(distinct call_service) as n_in from ({_resolved(d)}) r group by provider) c using (service)"""
+
+
+def cross_service_impact(d: Spark) -> str:
+    critical = d.like("route", "auth|login|pay|order|user|admin|account|session|token")
+    return f"""select service, route, affected, case when critical > 0 then 'critical' when affected >= 5 then 'high' when affected >= 2 then 'medium' else 'low' end as risk from (
+      select e.service, e.route, count(r.call_service) as affected, max(case when {critical.replace('route', 'e.route')} then 1 else 0 end) as critical from endpoint e left join ({_resolved(d)}) r on r.provider = e.service and r.route = e.route group by e.service, e.route) t where affected > 0"""
+
+
+def service_url_vars(d: Spark) -> str:
+    return f"select distinct page_id, name from ({d.unroll('page_id', 'page', d.every('html', '([a-z]+)=' + chr(34), 1), 'name')}) x"
+
+
+def event_contracts(d: Spark) -> str:
+    return f"select distinct service, event, 'publishes' as direction from ({d.unroll('service', 'page', d.every('html', 'track[(]([0-9a-z]+)[)]', 1), 'event')}) x"
+
+
+PLANS = (lifetime_stats, daily_summary, daily_trend, before_after, benchmark_averages, recent_events, scenario_ratios, acceptance_rate, rejection_analysis, acceptance_trend, repeated_rejection_insights, context_effectiveness, commit_candidates, endpoints_extracted, outbound_calls, url_path_normalise, resolve_dependencies, service_map, cross_service_impact, service_url_vars, event_contracts)
