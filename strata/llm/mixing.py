@@ -76,10 +76,10 @@ def _adder(table: Column):
 
 def rate(steps: list[np.ndarray], least: float = 0.0) -> Column:
     """The rate of a row with posterior columns after these gradient steps, each projected on rates of ``least`` and more."""
-    r = F.lit(1.0)
+    r = "1.0D"
     for g in steps:
-        r = F.greatest(F.lit(float(least)), r - sum((F.lit(float(g[k])) * F.col(f"p_{d}") for k, d in enumerate(DOMAINS)), F.lit(0.0)))
-    return r
+        r = f"greatest({float(least)}D, {r} - ({' + '.join(f'({float(g[k])!r}D) * p_{d}' for k, d in enumerate(DOMAINS))}))"
+    return F.expr(r)
 
 
 def fit_rates(rows: DataFrame, lifts: dict[str, float], least: float = 0.0, most: int = 30, near: float = 1e-3) -> list[np.ndarray]:
