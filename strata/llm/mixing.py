@@ -51,7 +51,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     for r in count:
         c[r["x"]] = [r[f"c{k}"] for k in range(len(DOMAINS))]
     n = c[-1]
-    p = np.log((c[:-1] + 0.5) / (n + 1))
+    # smoothed towards the share of a bucket over all classes, so that a class of few rows isn't favoured by what it never had
+    share = (c[:-1].sum(1) + 0.5) / (n.sum() + 1)
+    p = np.log((c[:-1] + 8 * share[:, None]) / (n + 8))
     prior = np.log((n + 0.5) / (n.sum() + 2))
     return (p - p[:, :1]) * (n.sum() > 0), (prior - prior[0]) * (n.sum() > 0)
 
