@@ -59,11 +59,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], steps: int
         return Model(np.zeros(SIZE), np.array([50.0, 51.0]))
     y, ratio = grades(rows, t)
     scale = np.maximum(ratio - 1, 0)  # only words that toxic rows have more often count: a long clean text hides nothing
-    at = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    col = np.concatenate([x for x, _ in rows])
-    val = np.concatenate([1 + np.log(n) for _, n in rows]) * scale[col]
-    used, col = np.unique(col[val > 0], return_inverse=True)
-    at, val = at[val > 0], val[val > 0]
+    own = [scale[x] > 0 for x, _ in rows]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [k.sum() for k in own])
+    col = np.concatenate([x[k] for (x, _), k in zip(rows, own)])
+    val = np.concatenate([1 + np.log(n[k]) for (_, n), k in zip(rows, own)]) * scale[col]
+    used, col = np.unique(col, return_inverse=True)
     w, gap = np.zeros(len(used)), np.log(1.0)
     base = np.log((~t).sum() / t.sum())
     first = base
@@ -100,11 +100,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         numbers = word_tables()
         for b in batches:
             got = [words(t.as_py() or "", numbers) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.int64()))], ["doc_id", "toxic", "x", "n"])
+            x, n = (pa.array([g[i].astype(np.int32).tobytes() for g in got], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), x, n], ["doc_id", "toxic", "x", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id").select("doc_id", "toxic", "text")
-    got = rows.mapInArrow(run, "doc_id long, toxic int, x array<long>, n array<long>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).toPandas()
-    return fit([(np.asarray(x, np.int64), np.asarray(n, float)) for x, n in zip(got["x"], got["n"])], got["toxic"].tolist())
+    # ids and counts as packed 32-bit numbers, taken batch by batch; the limit is for ids that documents repeat
+    got = rows.mapInArrow(run, "doc_id long, toxic int, x binary, n binary").limit(sample).toArrow()
+    order = sorted(range(got.num_rows), key=got.column("doc_id").to_pylist().__getitem__)
+    x, n, y = got.column("x"), got.column("n"), got.column("toxic").to_pylist()
+    return fit([(np.frombuffer(x[i].as_buffer(), np.int32), np.frombuffer(n[i].as_buffer(), np.int32)) for i in order], [y[i] for i in order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
