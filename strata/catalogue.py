@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.functions.dialect import DUCK, SPARK, plain, run
-from strata.plans import graphs, rules, usage
+from strata.plans import extraction, graphs, rules, usage
 from strata.sources.relations import with_relations
 
 
@@ -15,5 +15,5 @@ def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(spark, sf_dir, with_relations(SPARK, plan(SPARK)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(graphs.QUERIES) | {p.__name__: _query(p) for p in (*usage.PLANS, *rules.PLANS)}
-ORACLE_SQL: dict[str, str] = {k: graphs.duck(v) for k, v in graphs.ORACLES.items()} | {p.__name__: plain(with_relations(DUCK, p(DUCK))) for p in (*usage.PLANS, *rules.PLANS)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(graphs.QUERIES) | extraction.QUERIES | {p.__name__: _query(p) for p in (*usage.PLANS, *rules.PLANS)}
+ORACLE_SQL: dict[str, str] = {k: graphs.duck(v) for k, v in graphs.ORACLES.items()} | extraction.ORACLES | {p.__name__: plain(with_relations(DUCK, p(DUCK))) for p in (*usage.PLANS, *rules.PLANS)}
