@@ -121,13 +121,10 @@ def resample(docs: DataFrame, labels: DataFrame, lifts: dict[str, float] = LIFTS
 
     The chance is a hash of id and text, so that a run can be repeated. All columns stay.
     """
-    model = train(docs, labels, sample)
-    rows = cut(with_posteriors(docs.select("text"), model).drop("text"), "posteriors")
-    steps = fit_rates(rows, lifts, least)
-    was = docs.columns
-    kept = with_posteriors(docs.withColumnsRenamed({"n_tokens": "_n_tokens"}) if "n_tokens" in was else docs, model)
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    # written with the posteriors as columns: as expressions they would be put into every step of the rate
+    kept = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    kept = cut(with_posteriors(kept, train(docs, labels, sample)).drop("text"), "posteriors")
+    steps = fit_rates(kept, lifts, least)
+    chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1 << 20)) / float(1 << 20)
     kept = kept.withColumn("_times", F.floor(rate(steps, least) + chance).cast("int")).filter("_times > 0")
-    if "n_tokens" in was:
-        kept = kept.drop("n_tokens").withColumnRenamed("_n_tokens", "n_tokens")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*was)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

@@ -117,6 +117,10 @@ def test_toxicity_and_mixing_odd_rows(spark, odd, labels):
     got = mixing.mix(odd, labels).collect()
     assert len(got) == len(ODD) and all(r.rate >= 0 for r in got)
     assert mixing.mix(odd.limit(0), labels.limit(0)).count() == 0
+    clash = odd.withColumnRenamed("fp", "p_low")
+    again = mixing.resample(clash, labels, least=1.0)
+    assert again.columns == clash.columns and again.count() >= len(ODD) and again.distinct().count() == len(set(ODD))
+    assert mixing.resample(clash.limit(0), labels).count() == 0
 
 
 def test_vectors_against_brute_force(spark):
