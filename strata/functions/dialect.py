@@ -17,6 +17,7 @@ _MARK = re.compile(r"\$(" + "|".join(TABLES) + r")\b")
 
 class Spark:
     name = "spark"
+    newline = "'\\n'"
 
     def idiv(self, a, b):
         return f"({a} div {b})"
@@ -45,6 +46,15 @@ class Spark:
     def strings(self, x, order):
         return f"listagg({x}, ',') within group (order by {order})"
 
+    def joined(self, x, order):
+        return f"listagg({x}, {self.newline}) within group (order by {order})"
+
+    def thousands(self, x):
+        return f"format_number({x}, 0)"
+
+    def fixed(self, x, n):
+        return f"format_number({x}, {n})"
+
     def size(self, x):
         return f"size({x})"
 
@@ -72,6 +82,7 @@ class Spark:
 
 class Duck(Spark):
     name = "duck"
+    newline = "chr(10)"
 
     def idiv(self, a, b):
         return f"({a} // {b})"
@@ -94,6 +105,15 @@ class Duck(Spark):
     def strings(self, x, order):
         return f"string_agg({x}, ',' order by {order})"
 
+    def joined(self, x, order):
+        return f"string_agg({x}, {self.newline} order by {order})"
+
+    def thousands(self, x):
+        return f"format('{{:,}}', cast({x} as bigint))"
+
+    def fixed(self, x, n):
+        return f"printf('%.{n}f', {x})"
+
     def size(self, x):
         return f"len({x})"
 
