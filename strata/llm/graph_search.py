@@ -3,7 +3,10 @@
 Vectors are dealt into shards of bounded size. A shard's graph is built by inserting its vectors
 in growing batches: a greedy beam search over the graph so far proposes neighbours, and relaxed
 distance pruning keeps a neighbour only if no kept one is closer to it by the factor ``alpha``.
-Graphs are written to the shared folder; blocks of queries then visit every shard, and a beam
+Among many near copies no candidate is pruned, so a node's places all go to its own group. A graph
+therefore has many entries: vectors far from each other, one for each group that could use up
+its nodes' places; then one for each part not reached from them, and every vector that a search for
+itself does not find. Searches start at the entries nearest the query. Graphs are written to the shared folder; blocks of queries then visit every shard, and a beam
 search in each proposes vectors whose distances are taken again in double precision.
 """
 
@@ -29,14 +32,18 @@ def _sq(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("abd,abd->ab", d, d)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ``width`` nearest places found (-1: none) and their squared distances, nearest first."""
-    n = len(q)
+    n, first = len(q), min(width, len(entries))
     ids = np.full((n, width), -1, np.int32)
     dist = np.full((n, width), np.inf, x.dtype)
     done = np.ones((n, width), bool)
-    ids[:, 0], done[:, 0] = entry, False
-    dist[:, 0] = _sq(x, np.full((n, 1), entry), q)[:, 0]
+    e = x[entries]
+    far = (e * e).sum(1) - 2 * (q @ e.T)  # less each query's own square
+    ids[:, :first] = entries[np.argsort(far, 1, kind="stable")[:, :first]]
+    dist[:, :first], done[:, :first] = _sq(x, ids[:, :first], q), False
+    order = np.argsort(dist, 1, kind="stable")
+    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
     live = np.arange(n)
     while len(live):
         open_ = ~done[live]
@@ -80,18 +87,52 @@ def robust_prune(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, degree: int,
     return out
 
 
-def build(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2, batch: int = 256, seed: int = 0) -> tuple[np.ndarray, int]:
-    """Out-neighbours (n x degree, -1: none) and the entry of a graph over distinct vectors."""
+def spread(x: np.ndarray, count: int) -> np.ndarray:
+    """The place nearest the mean, then up to ``count - 1`` times the one farthest from those taken."""
+    at = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+    near = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < count and near.max() > 0:  # vectors that are the same in single precision are taken once
+        at.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+    return np.array(at, np.int32)
+
+
+def reached(graph: np.ndarray, entries: np.ndarray, seen: np.ndarray) -> None:
+    """Marks in ``seen`` what the entries lead to."""
+    edge = np.asarray(entries, np.int32)
+    while len(edge):
+        seen[edge] = True
+        edge = np.unique(graph[edge])
+        edge = edge[(edge >= 0) & ~seen[edge]]
+
+
+def join_in(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, width: int, batch: int) -> np.ndarray:
+    """The entries and more: with them all nodes are reached, and found by a search of ``width``."""
+    seen = np.zeros(len(x), bool)
+    reached(graph, entries, seen)
+    more = []
+    while not seen.all():
+        more.append(int(seen.argmin()))
+        reached(graph, np.array(more[-1:]), seen)
+    entries = np.concatenate([entries, np.array(more, np.int32)])
+    lost = []
+    for lo in range(0, len(x), batch):
+        own = np.arange(lo, min(lo + batch, len(x)), dtype=np.int32)
+        lost.append(own[(beam_search(x, graph, entries, x[own], width)[0] != own[:, None]).all(1)])
+    return np.unique(np.concatenate([entries, *lost]))
+
+
+def build(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2, batch: int = 256, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Out-neighbours (n x degree, -1: none) and the entries of a graph over distinct vectors."""
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
-    middle = x.mean(0)
-    entry = int(((x - middle) ** 2).sum(1).argmin())
+    entries = spread(x, math.ceil(n / degree))  # no more groups than these have more vectors than a node has places
     order = np.random.default_rng(seed).permutation(n).astype(np.int32)
-    order = np.concatenate([[entry], order[order != entry]]).astype(np.int32)
+    order = np.concatenate([entries, order[~np.isin(order, entries)]]).astype(np.int32)
     lo = 1
     while lo < n:
         new = order[lo : lo + min(batch, lo)]
-        ids, dist = beam_search(x, graph, entry, x[new], width)
+        ids, dist = beam_search(x, graph, entries[:lo], x[new], width)
         graph[new] = robust_prune(x, ids, dist, degree, alpha)
         # edges back: a full neighbour is pruned again over its own and the new edges
         src = np.repeat(new, degree)
@@ -113,7 +154,7 @@ def build(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2,
             d = np.where(cand >= 0, _sq(x, cand, x[v]), np.inf)
             graph[v] = robust_prune(x, cand, d, degree, alpha)
         lo += len(new)
-    return graph, entry
+    return graph, join_in(x, graph, entries, width, batch)
 
 
 def pack(ids: np.ndarray, x: np.ndarray, copies: int, **how) -> bytes:
@@ -123,14 +164,14 @@ def pack(ids: np.ndarray, x: np.ndarray, copies: int, **how) -> bytes:
     _, first, inverse = np.unique(x, axis=0, return_index=True, return_inverse=True)
     by = np.argsort(inverse.ravel(), kind="stable")
     groups = [np.unique(g)[:copies] for g in np.split(ids[by], np.cumsum(np.bincount(inverse.ravel()))[:-1])]
-    graph, entry = build(np.ascontiguousarray(x[first], np.float32), **how)
-    return pickle.dumps((x[first], groups, graph, entry))
+    graph, entries = build(np.ascontiguousarray(x[first], np.float32), **how)
+    return pickle.dumps((x[first], groups, graph, entries))
 
 
 def visit(index: bytes, query_ids: np.ndarray, q: np.ndarray, k: int, width: int) -> list[tuple[int, int, float]]:
     """(query, vector, distance): each query's ``k`` nearest found in the shard, without its own id."""
-    x, groups, graph, entry = pickle.loads(index)
-    found, _ = beam_search(x.astype(np.float32), graph, entry, q.astype(np.float32), min(width, len(x)))
+    x, groups, graph, entries = pickle.loads(index)
+    found, _ = beam_search(x.astype(np.float32), graph, entries, q.astype(np.float32), min(width, len(x)))
     x64, q64 = x.astype(np.float64), q.astype(np.float64)
     out = []
     for i, own in enumerate(query_ids.tolist()):
