@@ -5,6 +5,10 @@ substrings, one hash table each; vectors that agree in a substring are candidate
 codes are within a Hamming radius are reranked with the original vectors. Substrings are as long
 as a bucket of random vectors holds about one, and there are as many tables as find a pair at
 the threshold itself with the wanted probability; closer pairs are found more surely.
+
+The mean is taken from the vectors first, so that codes tell vectors of a common direction apart. That
+widens the angle of a pair, so tables and radius are planned from the angles of pairs of the sample at the
+threshold, measured about the mean taken. How much of the mean is taken is what gives the least work.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ SAMPLE = 4096
 WORDS = 3
 
 
-def learn(x: np.ndarray, rotations: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Mean, and a (dims x dims * rotations) matrix: rotations that bring the sample close to the corners of a cube."""
-    mean = x.mean(0)
+#: shares of the mean that are tried; without it the angle of a pair is that of its cosine, whatever the data
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
+
+
+def learn(x: np.ndarray, mean: np.ndarray, rotations: int, rounds: int = 20, seed: int = 0) -> np.ndarray:
+    """A (dims x dims * rotations) matrix: rotations that bring the sample less ``mean`` close to the corners of a cube."""
     v, d = x - mean, x.shape[1]
     rng = np.random.default_rng(seed)
     out = []
@@ -39,27 +46,69 @@ def learn(x: np.ndarray, rotations: int, rounds: int = 20, seed: int = 0) -> tup
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(r)
-    return mean, np.concatenate(out, 1)
-
-
-def plan(n: int, least: float, recall: float) -> tuple[int, int, float]:
-    """Bits of a substring, number of tables, and the share of bits in which a pair at cosine ``least`` differs."""
-    flip = math.acos(least) / math.pi
+    return np.concatenate(out, 1)
+
+
+def flips(u: np.ndarray, v: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The share of bits in which the codes of each pair of rows differ."""
+    a, b = u - mean, v - mean
+    size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    cosine = np.einsum("ij,ij->i", a, b) / np.where(size > 0, size, 1)
+    return np.arccos(np.clip(cosine, -1, 1)) / math.pi
+
+
+def pairs_at(x: np.ndarray, least: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at cosine ``least``: each unit vector and one turned from it towards another; and the sample's own just above, if any."""
+    w = x[np.random.default_rng(seed).permutation(len(x))]
+    w = w - np.einsum("ij,ij->i", w, x)[:, None] * x
+    size = np.linalg.norm(w, axis=1)
+    far = size > 1e-6
+    out = [(x[far], least * x[far] + math.sqrt(1 - least * least) * w[far] / size[far, None])]
+    found = []
+    for lo in range(0, len(x), 512):
+        cosine = x[lo : lo + 512] @ x.T
+        i, j = np.nonzero((cosine >= least) & (cosine <= least + (1 - least) / 5))
+        some = np.unique(np.linspace(0, len(i) - 1, SAMPLE // 8).astype(int)) if len(i) else slice(0, 0)
+        found.append(np.stack([i[some] + lo, j[some]]))
+    i, j = np.concatenate(found, 1)
+    return [(u, v) for u, v in [*out, (x[i], x[j])] if len(u)]
+
+
+def plan(n: int, x: np.ndarray, least: float, recall: float) -> tuple[np.ndarray, int, int, int]:
+    """For ``n`` vectors with the sample ``x`` of unit vectors: the mean to take, bits of a substring, number of tables, and radius."""
+    total = WORDS * 64
     bits = min(30, max(8, math.ceil(math.log2(max(n, 2)))))
-    same = (1 - flip) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same)), flip
+    pairs, other = pairs_at(x, least), x[np.random.default_rng(1).permutation(len(x))]
+    plans = []
+    for share in SHARES:
+        mean = share * x.mean(0)
+        each = [flips(u, v, mean) for u, v in pairs] or [np.array([math.acos(least) / math.pi])]
+        tables = 1
+        for f in each:
+            missed = 1 - (1 - f) ** bits
+            lo, hi = 0, 1
+            while np.mean(missed**hi) > 1 - recall and hi < 1 << 40:
+                lo, hi = hi, 2 * hi
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if np.mean(missed**mid) > 1 - recall else (lo, mid)
+            tables = max(tables, hi)
+        flip = max(float(np.quantile(f, 0.999)) for f in each)
+        radius = math.ceil(flip * total + 5 * math.sqrt(flip * (1 - flip) * total))
+        met = n * float(np.mean((1 - flips(x, other, mean)) ** bits)) / 2  # candidates of a vector in a table
+        plans.append((tables * (1 + met), len(plans), mean, bits, tables, radius))
+    return min(plans, key=lambda p: p[:2])[2:]
 
 
 def links(reps: DataFrame, dims: int, least: float, recall: float) -> DataFrame:
     """``reps(rep, embedding)`` of one length -> ``(a, b)``, ``a < b``: pairs found whose cosine is at least ``least``."""
     n = reps.count()
-    bits, tables, flip = plan(n, least, recall)
-    rotations = math.ceil(max(tables * bits, WORDS * 64) / dims)
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
     x = matrix(sample.column(0)).astype(np.float64)
-    mean, turn = learn(x / np.linalg.norm(x, axis=1, keepdims=True), rotations)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, bits, tables, radius = plan(n, x, least, recall)
     total = WORDS * 64
-    radius = math.ceil(flip * total + 5 * math.sqrt(flip * (1 - flip) * total))
+    turn = learn(x, mean, math.ceil(max(tables * bits, total) / dims))
     sent = reps.sparkSession.sparkContext.broadcast((mean, turn))  # dims x (bits of the code), whatever the table's size
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
