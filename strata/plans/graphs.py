@@ -76,7 +76,7 @@ _IMPACT = f"with c as ({_CHANGED} union all select 'src/none.py'), {_IMPACT}, i
 
 
 def impact_capped(spark, d):
-    return graph.impact(_nodes(spark, d), _edges(spark, d), _changed(spark, d), cap=5)
+    return graph.impact(_nodes(spark, d), _edges(spark, d), _changed(spark, d), cap=100)
 
 
 def impact_relevance(spark, d):
