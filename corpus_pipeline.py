@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.llm import mixing, pieces, quality, secrets, simhash
 from strata.llm.common import cut, drop_cut, table
@@ -23,10 +24,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row: of those with the smallest id, if any has one, the first."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that every scan sees the same keys
+    groups = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    groups = cut(groups.join(rows.select("_row", "doc_id"), "_row"), "groups")
+    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_first"))
+    gone = groups.select("_row").join(first.select(F.col("_first").alias("_row")), "_row", "left_anti")  # by row, as a group may be large
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
