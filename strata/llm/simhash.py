@@ -1,31 +1,34 @@
-"""SimHash near-duplicates with BK-trees.
-
-Fingerprints are cut into five blocks of bits. Two that differ in three bits or fewer agree in
-at least two whole blocks, so each distinct fingerprint goes into ten shards, one for each pair
-of blocks, keyed by the bits of that pair. A shard's BK-tree keys every child by its integer
-Hamming distance to the parent, and a search follows only the edges within the radius of the
-distance found at a node. Shards travel by a shuffle on their key beside their own queries:
-their sizes follow the data, so none is broadcast. A shard gives the links of a spanning
-forest, never all its pairs.
+"""SimHash near-duplicates with broadcast BK-trees.
+
+A BK-tree keys every child by its integer Hamming distance to the parent, and a search follows only the
+edges within the radius of the distance found at a node. Fingerprints are cut into four blocks of 16 bits;
+two that differ in three bits or fewer agree in one of them, so a fingerprint stands in four shards, one a
+block, keyed by as many of the block's bits as leave a shard some hundred fingerprints. Shards are put together
+to parcels of a bounded number of fingerprints, each parcel's trees are built by one task and written to the
+shared folder; then parcel after parcel is broadcast and searched by all fingerprints. What a search gives is
+a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut
+from strata.llm.common import cut, drop_cut
 from strata.llm.components import components
+from strata.llm.forest import merge
 
 RADIUS = 3
-_EDGES = [0, 13, 26, 39, 52, 64]
-#: bit masks of the ten pairs of blocks, as signed 64-bit numbers
-MASKS = [int(np.uint64(sum(((1 << (_EDGES[i + 1] - _EDGES[i])) - 1) << _EDGES[i] for i in pair)).view(np.int64)) for pair in combinations(range(5), 2)]
+#: most fingerprints in the trees that are broadcast at once: about 100 MB
+PARCEL = 4_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -59,96 +62,122 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-class BKTree:
-    """Distinct integers; a node is (value, {distance: child})."""
-
-    def __init__(self, radius: int = RADIUS):
-        self.radius = radius
-        self.value: list[int] = []
-        self.child: list[dict[int, int]] = []
-
-    def near(self, x: int) -> list[int]:
-        """Places of the values within the radius of ``x``."""
-        if not self.value:
-            return []
-        found, stack, r = [], [0], self.radius
-        while stack:
-            at = stack.pop()
-            d = (self.value[at] ^ x).bit_count()
-            if d <= r:
-                found.append(at)
-            if child := self.child[at]:
-                if len(child) <= 2 * r + 1:
-                    stack += [c for k, c in child.items() if d - r <= k <= d + r]
-                else:
-                    stack += [child[k] for k in range(d - r, d + r + 1) if k in child]
-        return found
-
-    def add(self, x: int) -> int:
-        self.value.append(x)
-        self.child.append({})
-        new, at = len(self.value) - 1, 0
-        while new:
-            d = (self.value[at] ^ x).bit_count()
-            nxt = self.child[at].setdefault(d, new)
-            if nxt == new:
-                break
-            at = nxt
-        return new
-
-
-def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the distinct values of one shard."""
-    tree, top, links = BKTree(radius), [], []
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for x in values:
-        near = tree.near(x)
-        new = tree.add(x)
-        top.append(new)
-        for at in near:
-            a, b = root(at), root(new)
-            if a != b:
-                top[max(a, b)] = min(a, b)
-                links.append((tree.value[at], x))
-    return links
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` -> ``(a, b)`` links whose components are those of all links within the radius."""
-
+@dataclass
+class Trees:
+    """BK-trees over distinct values, one for each run of equal ``shard``: node ``i`` has the children ``first[i]`` to ``first[i + 1]`` of ``child``, by distance."""
+
+    shard: np.ndarray  # of each tree, ascending
+    root: np.ndarray
+    value: np.ndarray
+    first: np.ndarray
+    child: np.ndarray
+    edge: np.ndarray
+
+
+def grow(shard: np.ndarray, value: np.ndarray) -> Trees:
+    """Trees of rows sorted by shard. All rows go down one level at a time; the first to reach a free edge becomes a node there."""
+    n = len(value)
+    starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.empty(0, np.int64)
+    root = np.repeat(starts, np.diff(np.r_[starts, n]))
+    parent, edge = np.full(n, -1), np.zeros(n, np.uint8)
+    at = root.copy()
+    left = np.setdiff1d(np.arange(n), starts, assume_unique=True)
+    while len(left):
+        d = np.bitwise_count(value[left] ^ value[at[left]])
+        key = at[left] * 65 + d
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        own = left[one]
+        parent[own], edge[own] = at[own], d[one]
+        at[left] = own[which]
+        left = np.delete(left, one)
+    order = np.lexsort((edge, parent))
+    order = order[parent[order] >= 0]
+    first = np.zeros(n + 1, np.int64)
+    np.add.at(first, parent[order] + 1, 1)
+    return Trees(shard[starts], starts, value, np.cumsum(first), order, edge[order])
+
+
+def search(trees: Trees, shard: np.ndarray, value: np.ndarray, radius: int = RADIUS, piece: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of the query, node) within the radius, for queries in the tree of their shard; shards without a tree find nothing."""
+    if not len(trees.shard):
+        return
+    tree = np.minimum(np.searchsorted(trees.shard, shard), len(trees.shard) - 1)
+    row = np.flatnonzero(trees.shard[tree] == shard)
+    todo = [(row[lo : lo + piece], trees.root[tree[row[lo : lo + piece]]]) for lo in range(0, len(row), piece)]
+    while todo:  # depth first, in pieces, so that memory is bounded however many nodes lie within reach
+        row, node = todo.pop()
+        d = np.bitwise_count(value[row] ^ trees.value[node]).astype(np.int64)
+        if (hit := d <= radius).any():
+            yield row[hit], node[hit]
+        lo, hi = trees.first[node], trees.first[node + 1]
+        some = hi > lo
+        row, d, lo, size = row[some], d[some], lo[some], (hi - lo)[some]
+        if not len(row):
+            continue
+        each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        go = np.abs(trees.edge[each].astype(np.int64) - np.repeat(d, size)) <= radius
+        row, node = np.repeat(row, size)[go], trees.child[each[go]]
+        todo += [(row[i : i + piece], node[i : i + piece]) for i in range(0, len(row), piece)]
+
+
+def links(fps: DataFrame, parcel: int = PARCEL, least: int = PARCEL // 40, fill: int = 256) -> DataFrame:
+    """Distinct ``fp`` -> ``(a, b)`` links whose components are those of all links within the radius.
+
+    A parcel holds at most about ``parcel`` fingerprints of trees (24 bytes each), and an eighth of them all where that is
+    less, but ``least``. A shard larger than a parcel's half is dealt over several trees, each searched.
+    """
+    spark, n = fps.sparkSession, fps.count()
+    bits = min(16, max(0, math.ceil(math.log2(max(n, 1) / fill))) if n > fill else 0)
+    size = min(parcel, max(least, n // 2))
+    part = {t: F.shiftrightunsigned("fp", 16 * t + 16 - bits).bitwiseAND((1 << bits) - 1) for t in range(4)}
+    keys = F.explode(F.array(*[F.lit(t << 16).bitwiseOR(k.cast("int")) for t, k in part.items()]))
+    entries = fps.select(keys.alias("shard"), "fp")
+    sizes = entries.groupBy("shard").agg(F.count("*").alias("n"))  # at most 4 * 65,536 rows
+    split = cut(sizes.select("shard", F.ceil(F.col("n") / (size // 2)).cast("int").alias("parts")), "shards")
+    parcels = max(1, math.ceil(4 * n / size))
+    placed = entries.join(F.broadcast(split), "shard").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")))
+    # shards of one tree fill parcels by their hash; the parts of larger ones go to parcels of their own
+    home = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("shard"), F.lit(parcels)).cast("string")).otherwise(F.concat_ws(":", "shard", "part"))
+    placed = placed.select(home.alias("home"), F.col("shard").cast("long"), "fp")
+
+    def build(t: pa.Table) -> pa.Table:
+        shard, value = t.column(1).to_numpy(), t.column(2).to_numpy().view(np.uint64)
+        order = np.lexsort((value, shard))
+        return pa.table({"home": t.column(0)[:1], "trees": pa.array([pickle.dumps(grow(shard[order], value[order]))], pa.binary())})
+
+    grown = cut(placed.groupBy("home").applyInArrow(build, "home string, trees binary"), "trees")
+    found = []
+    for home in sorted(r.home for r in grown.select("home").collect()):
+        sent = spark.sparkContext.broadcast(grown.filter(F.col("home") == home).select("trees").first()[0])  # of bounded size
+        found.append(cut(fps.select("fp").mapInArrow(_seeker(sent, bits), "a long, b long"), "links"))
+        sent.unpersist()
+    drop_cut(grown)
+    drop_cut(split)
+    return reduce(DataFrame.unionByName, found) if found else fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+
+
+def _seeker(sent, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, 3), np.int64)
+        trees = pickle.loads(sent.value)
         for b in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)])
-            # the last shard may go on in the next batch
-            same = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
-            upto = same[-1] + 1 if len(same) else 0
-            yield from emit(rows[:upto])
-            rest = rows[upto:]
-        yield from emit(rest)
-
-    def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
-        sizes = np.diff(np.r_[starts, len(rows)])
-        out = []
-        for lo, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            values = (rows[lo : lo + n, 2].view(np.uint64)).tolist()
-            out += shard_links(values)
-        if out:
-            ab = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
-
-    keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(MASKS)])
-    shards = fps.select(F.explode(keys).alias("s"), "fp").select("s.t", "s.k", "fp")
-    return shards.repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(run, "a long, b long")
+            q = b.column(0).to_numpy().view(np.uint64)
+            at = [np.uint64(t << 16) | ((q >> np.uint64(16 * t + 16 - bits)) & np.uint64((1 << bits) - 1)) for t in range(4)]
+            shard, row = np.concatenate(at).astype(np.int64), np.tile(np.arange(len(q)), 4)
+            # queries and nodes as one row of places: first the batch, then the trees
+            top, held, seen = np.arange(len(q) + len(trees.value)), [], 0
+            for i, node in search(trees, shard, q[row]):
+                apart = q[row[i]] != trees.value[node]
+                held.append((row[i[apart]], len(q) + node[apart]))
+                seen += int(apart.sum())
+                if seen > 1 << 21:
+                    top, held, seen = merge(top, *map(np.concatenate, zip(*held))), [], 0
+            if held:
+                top = merge(top, *map(np.concatenate, zip(*held)))
+            value = np.concatenate([q, trees.value]).view(np.int64)
+            linked = np.flatnonzero(top != np.arange(len(top)))
+            yield pa.RecordBatch.from_arrays([pa.array(value[top[linked]]), pa.array(value[linked])], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -156,7 +185,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and wordless texts have fingerprint zero and link like any other. Rows without an id get
     the component of their fingerprint; a component of such rows only has a null id. Repeated
-    rows stay; an empty table gives an empty table; other columns are ignored.
+    rows stay; an empty table gives an empty table; other columns are ignored, whatever their names.
+    A text is taken whole, a piece of its shingles at a time, however long it is.
     """
     by_doc = cut(fingerprints(docs), "simhash")
     fps = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
