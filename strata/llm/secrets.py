@@ -1,23 +1,28 @@
-"""Secret scans over a trigram index, with DataFrame functions only.
-
-Every rule's regex is turned into a Boolean query over trigrams that each of its matches must
-contain. The index holds, for each trigram of the rules, its posting as a bitmap over the rows
-(bit ``i`` of ``postings`` says whether the row is in the posting of trigram ``i``). Intersecting
-postings is then an AND of bits where the text already is, so that no text is shuffled. Rows
-that pass a rule's query are verified with the regex; a rule without mandatory trigrams scans
-every row.
+"""Secret scans over a trigram inverted index, with DataFrame functions only.
+
+Every rule's regex is turned into a Boolean query over trigrams that each of its matches must contain.
+The index holds a posting for each trigram that a rule asks for and each block of 32,768 rows: a bitmap
+of the rows that have it, aggregated where the rows are. Postings are intersected a conjunction,
+united a rule, and the rows that remain are joined back to their texts by content hash and verified
+with the rule's regex. A rule without mandatory trigrams scans every text when the index is made.
+
+Texts are joined by a 128-bit hash of what they say, so that an index holds whatever order rows come in, and repeated
+texts are verified to the same spans. Beside the candidates' keys texts stay where they are as long as those keys are
+under the session's broadcast threshold; beyond it they are shuffled once.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -128,39 +133,70 @@ def _item(op, arg) -> tuple[frozenset[str] | None, object, bool]:
     return None, ANY, False
 
 
-def _passes(query, bit) -> Column:
-    if query is ANY:
-        return F.lit(True)
-    every = [reduce(lambda a, b: a & b, [bit(t) for t in sorted(x)]) for x in sorted(query, key=sorted)]
-    return reduce(lambda a, b: a | b, every)
+def _trie(strings: list[str]) -> str:
+    """A regex of the strings, common starts written once."""
+    if strings == [""]:
+        return ""
+    by: dict[str, list[str]] = {}
+    for x in strings:
+        by.setdefault(x[0], []).append(x[1:])
+    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(by.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
 
+def _keys() -> list[Column]:
+    """A 128-bit hash of the text, null as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``cand``: an array with the rules whose trigram query the text passes, by place in ``rules``."""
+
+def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs(text)`` -> ``(id, k1, k2, grams, found)``, a row a row, written: the rules' trigrams in a text, and the spans of rules that ask for none."""
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({t for q in queries if q is not ANY for x in q for t in x})
-    low = docs.withColumn("_low", F.lower("text"))
-    words = [F.lit(0).cast("long") for _ in range(len(grams) // 62 + 1)]
-    for i, t in enumerate(grams):
-        words[i // 62] = words[i // 62].bitwiseOR(F.when(F.contains("_low", F.lit(t)), F.lit(1 << i % 62)).otherwise(F.lit(0)))
-    indexed = low.withColumn("_postings", F.array(*words))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *_keys())
+    first = "".join(sorted(re.escape(c) for c in {g[0] for g in grams}))
+    # one pass: a look-ahead at every character that one of the trigrams starts with
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?=[{first}])(?=({_trie(grams)}))"), F.lit(1))) if grams else F.array().cast("array<string>")
+    rows = texts.select("text", "k1", "k2", own.alias("grams"), F.array(*[F.lit(q is ANY) for q in queries]).alias("cand"))
+    rows = spans(rows, rules).withColumn("id", F.monotonically_increasing_id())  # written, so that every reader sees the same numbers
+    return cut(rows.select("id", "k1", "k2", "grams", "found"), "grams")
 
-    def bit(t: str) -> Column:
-        i = grams.index(t)
-        return F.col("_postings")[i // 62].bitwiseAND(F.lit(1 << i % 62)) != 0
 
-    return indexed.withColumn("_cand", F.array(*[_passes(q, bit) for q in queries])).drop("_low", "_postings")
+def postings(indexed: DataFrame) -> DataFrame:
+    """``index(...)`` -> ``(block, gram, rows)``: the inverted index, a bitmap of rows for each trigram and block."""
+    each = indexed.select(F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id").alias("at"), F.explode("grams").alias("gram"))
+    return each.groupBy("block", "gram").agg(F.bitmap_construct_agg("at").alias("rows"))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs(text, ...)`` with a column ``found``: array of (start, ord, end, kind), sorted; null text counts as empty.
+def candidates(indexed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``index(...)`` -> ``(k1, k2, cand)`` of texts that pass a rule's query; ``cand`` says which, by place in ``rules``."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    asked = [(i, c, len(x), t) for i, q in enumerate(queries) if q is not ANY for c, x in enumerate(sorted(q, key=sorted)) for t in sorted(x)]
+    asked = indexed.sparkSession.createDataFrame(asked, "rule int, conj int, n int, gram string")  # as large as the rules are
+    met = postings(indexed).join(F.broadcast(asked), "gram").groupBy("block", "rule", "conj", "n").agg(F.bitmap_and_agg("rows").alias("rows"), F.count("*").alias("k"))
+    met = met.filter("k = n").groupBy("block", "rule").agg(F.bitmap_or_agg("rows").alias("rows"))
+    met = cut(met.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rows"))).alias("by")), "blocks")  # at most 4 KiB a rule
+    at = F.bitmap_bit_position("id")
+
+    def bit(i: int) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col("by")[i], F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(id) % 8 as int))")) != 0, F.lit(False))
+
+    rows = indexed.select("id", "k1", "k2", F.bitmap_bucket_number("id").alias("block")).join(met, "block")
+    rows = rows.select("k1", "k2", F.array(*[bit(i) for i in range(len(rules))]).alias("cand")).filter(F.exists("cand", lambda x: x))
+    return rows.groupBy("k1", "k2").agg(F.any_value("cand").alias("cand"))
+
+
+def spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``rows(text, cand, ...)`` with ``found``: array of (start, ord, end, kind), sorted, of the rules that ``cand`` names.
 
     Positions are code points, the end exclusive; ``ord`` is the rule's place. Matches of a rule are
     leftmost and don't overlap; those of different rules may.
     """
-    rows = candidates(docs.withColumn("text", F.coalesce("text", F.lit(""))), rules)
+    was = rows.columns
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({f"_m{i}": F.when(F.col("_cand")[i], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none) for i, r in enumerate(rules)})
+    rows = rows.withColumns({f"_m{i}": F.when(F.col("cand")[i], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none) for i, r in enumerate(rules)})
     for i, r in enumerate(rules):
         hit = F.size(f"_m{i}") > 0
         rows = rows.withColumns(
@@ -169,7 +205,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 f"_k{i}": F.when(hit, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).otherwise(none) if r.group else F.col(f"_m{i}"),
             }
         )
-    spans = []
+    every = []
     for i, r in enumerate(rules):
         start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)").alias("out"))
 
@@ -180,9 +216,20 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             return F.struct(hi.alias("at"), F.when(F.length(m["k"]) >= r.least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
         zipped = F.arrays_zip(F.col(f"_m{i}").alias("m"), F.expr(f"slice(_g{i}, 1, size(_m{i}))").alias("g"), F.col(f"_k{i}").alias("k"))
-        spans.append(F.when(F.size(f"_m{i}") > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(start["out"]))
-    rows = rows.withColumn("found", F.array_sort(F.concat(*spans)))
-    return rows.drop("_cand", *[f"_{c}{i}" for c in "mgk" for i in range(len(rules))])
+        every.append(F.when(F.size(f"_m{i}") > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(start["out"]))
+    return rows.select(*was, F.array_sort(F.concat(*every)).alias("found"))
+
+
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs(text)`` -> ``(k1, k2, found)``: a row a text that has a span, with all its spans (see :func:`spans`)."""
+    indexed = index(docs, rules)
+    cand = cut(candidates(indexed, rules), "candidates")  # written, so that its size is known when the join is planned
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *_keys())
+    verified = spans(texts.join(cand, ["k1", "k2"]), rules).select("k1", "k2", "found")
+    both = verified.unionByName(indexed.select("k1", "k2", "found")).filter(F.size("found") > 0)
+    # a text may stand in many rows: the most spans are all those of one pass, and the passes are of different rules
+    every = both.groupBy("k1", "k2").agg(F.collect_set("found").alias("f")).select("k1", "k2", F.array_sort(F.flatten("f")).alias("found"))
+    return cut(every, "spans")
 
 
 def _list(spans: Column) -> Column:
@@ -196,22 +243,24 @@ def _of(i: int):
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a row: ``doc_id``, counts of the base kinds, the digest of the base spans, and all spans.
 
-    Null text counts as empty, rows repeat as they do in ``docs``, an empty table gives an empty table.
+    Null text counts as empty, texts are scanned whole however long, rows repeat as they do in ``docs``,
+    an empty table gives an empty table, other columns are ignored whatever their names.
     """
     base = [i for i, r in enumerate(rules) if r.base]
-    rows = find(docs.select("doc_id", "text"), rules)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys()).join(find(docs.select("text"), rules), ["k1", "k2"], "left")
+    rows = rows.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")))
     count = [F.size(F.filter("found", _of(i))).cast("long").alias(f"n_{rules[i].kind}") for i in base]
     own = F.filter("found", lambda s: s["ord"].isin(base))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *count, F.sha2(_list(own).cast("binary"), 256).alias("base_sha256"), _list(F.col("found")).alias("spans"))
+    return rows.select("doc_id", *count, F.sha2(_list(own).cast("binary"), 256).alias("base_sha256"), _list(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every span of ``find`` replaced by ``[kind]``; overlapping spans become one, named by the first.
+    """``docs`` with every span of :func:`find` replaced by ``[kind]``; overlapping spans become one, named by the first.
 
-    All rows and columns stay (null text too); ``n_chars``, if there, follows the text.
+    All rows and columns stay, whatever their names (null text too); ``n_chars``, if there, follows the
+    text. An empty table gives an empty table.
     """
-    was = [c for c in docs.columns]
-    rows = find(docs.withColumn("_null", F.col("text").isNull()), rules)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", *_keys()).join(find(docs.select("text"), rules), ["k1", "k2"], "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -220,11 +269,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, text).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("_hit", F.size("found") > 0)
-    rows = rows.withColumn("text", F.when(F.col("_null"), F.lit(None)).when(F.col("_hit"), clean).otherwise(F.col("text")))
-    if "n_chars" in was:
-        rows = rows.withColumn("n_chars", F.when(F.col("_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*was)
+    rows = rows.select("doc", F.col("found").isNotNull().alias("hit"), F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("doc")["n_chars"])}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 #: the same rules in DuckDB, positions from the parts between matches
