@@ -6,14 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.functions.dialect import DUCK, SPARK, plain, run
-from strata.plans import extraction, graphs, rules, streams, texts, usage
-from strata.sources.relations import with_relations
+from strata.plans import answers, engine, extraction, graphs, streams
 
-
-def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run(spark, sf_dir, with_relations(SPARK, plan(SPARK)))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(graphs.QUERIES) | extraction.QUERIES | streams.QUERIES | {p.__name__: _query(p) for p in (*usage.PLANS, *rules.PLANS, *texts.PLANS)}
-ORACLE_SQL: dict[str, str] = {k: graphs.duck(v) for k, v in graphs.ORACLES.items()} | extraction.ORACLES | streams.ORACLES | {p.__name__: plain(with_relations(DUCK, p(DUCK))) for p in (*usage.PLANS, *rules.PLANS, *texts.PLANS)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(graphs.QUERIES) | extraction.QUERIES | streams.QUERIES | engine.QUERIES
+ORACLE_SQL: dict[str, str] = {k: graphs.duck(v) for k, v in graphs.ORACLES.items()} | extraction.ORACLES | streams.ORACLES | answers.ORACLES

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 #: fixed values: suffixes of a language
 LANGUAGES = {
-    "python": ".py .pyi", "javascript": ".js .mjs .cjs .jsx", "typescript": ".ts", "tsx": ".tsx", "go": ".go", "rust": ".rs", "java": ".java", "ruby": ".rb",
-    "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp", "csharp": ".cs", "php": ".php", "swift": ".swift", "kotlin": ".kt .kts", "scala": ".scala", "lua": ".lua",
-    "dart": ".dart", "elixir": ".ex .exs", "haskell": ".hs",
+    "python": (".py", ".pyi"), "javascript": (".js", ".mjs", ".cjs", ".jsx"), "typescript": (".ts",), "tsx": (".tsx",), "go": (".go",), "rust": (".rs",), "java": (".java",), "ruby": (".rb",),
+    "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".hpp"), "csharp": (".cs",), "php": (".php",), "swift": (".swift",), "kotlin": (".kt", ".kts"), "scala": (".scala",), "lua": (".lua",),
+    "dart": (".dart",), "elixir": (".ex", ".exs"), "haskell": (".hs",),
 }
-SUFFIXES = {s: language for language, all_ in LANGUAGES.items() for s in all_.split()}
+SUFFIXES = {s: language for language, all_ in LANGUAGES.items() for s in all_}
+#: fixed values: stems of files that a program starts in
+ENTRY_STEMS = ("main", "app", "manage", "server", "worker", "cli")
+#: fixed values: what marks a generated file in its first five lines
+GENERATED = ("# generated", "// generated", "/* generated", "@generated", "do not edit", "auto-generated")
 
 
 def suffix(path: Column) -> Column:
@@ -36,13 +40,18 @@ def is_test(path: Column) -> Column:
     return name | F.lower(path).rlike(r"(^|/)(tests?|__tests__|specs?)(/|$)")
 
 
+def is_test_for_rules(path: Column) -> Column:
+    """The narrower test of contract scopes: no dotted endings, no ``conftest``, no ``specs`` folder."""
+    return F.lower(stem(path)).rlike(r"^test_|_(test|spec)$") | F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)(/|$)")
+
+
 def is_entry_point(path: Column, content: Column) -> Column:
-    return F.lower(stem(path)).isin("main", "app", "manage", "server", "worker", "cli") | (content.contains("__name__") & content.contains("__main__"))
+    return F.lower(stem(path)).isin(*ENTRY_STEMS) | (content.contains("__name__") & content.contains("__main__"))
 
 
-def is_generated(content: Column, markers: tuple[str, ...] = ("generated by", "auto-generated", "autogenerated", "do not edit", "@generated")) -> Column:
+def is_generated(content: Column, markers: tuple[str, ...] = GENERATED) -> Column:
     head = F.lower(F.substring_index(content, "\n", 5))
-    return F.coalesce(F.greatest(F.lit(False), *[head.contains(m) for m in markers]), F.lit(False))
+    return F.coalesce(F.greatest(F.lit(False), *[head.contains(m.lower()) for m in markers]), F.lit(False))
 
 
 def qualified_module(path: Column) -> Column:

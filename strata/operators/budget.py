@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,20 +26,38 @@ def rank(items: DataFrame) -> DataFrame:
 
 
 def pack(items: DataFrame, budget: int) -> DataFrame:
-    """``items(request, rank, freshness, tokens, ordinal)`` -> ``(request, ordinal, taken)``: in order, what still fits.
+    """``items(request, rank, freshness, tokens, ordinal)`` -> ``(request, ordinal, taken)``: in order, what still fits."""
+    return choose(items, budget, cut_first=False).select("request", "ordinal", "taken")
+
+
+def choose(items: DataFrame, budget: int, cut_first: bool = True) -> DataFrame:
+    """``items(request, rank, freshness, tokens, ordinal)`` -> ``(request, ordinal, taken, cut)``.
+
+    An item that doesn't fit is passed over and the next one tried. With ``cut_first`` one of rank 0 that doesn't fit while
+    nothing is taken is taken all the same, and marked to be cut; it uses up the budget. No budget: nothing is taken.
 
-    An item that does not fit is passed over and the next one tried, so the choice is a fold over a
-    request's items, which are few (the items offered for one answer); requests run in parallel.
+    Items stream by, sorted by request and order, so a request of any size takes one pass and no memory; requests are
+    dealt over tasks by a hash.
     """
-    row = F.struct("rank", (-F.col("freshness")).alias("stale"), "tokens", "ordinal")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("taken"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["tokens"] <= budget
-        return F.when(fits, F.struct((acc["used"] + x["tokens"]).alias("used"), F.array_append(acc["taken"], x["ordinal"]).alias("taken"))).otherwise(acc)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, any_ = object(), 0, False
+        for b in batches:
+            taken, cut = [], []
+            for request, rank, tokens in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if request != now:
+                    now, used, any_ = request, 0, False
+                fits = budget > 0 and used + tokens <= budget
+                force = cut_first and budget > 0 and not fits and not any_ and rank == 0
+                taken.append(fits or force)
+                cut.append(force)
+                used = used + tokens if fits else budget if force else used
+                any_ = any_ or fits or force
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(taken, pa.bool_()), pa.array(cut, pa.bool_())], ["request", "ordinal", "taken", "cut"])
 
-    packed = items.groupBy("request").agg(F.array_sort(F.collect_list(row)).alias("_x")).withColumn("_t", F.aggregate("_x", start, step, lambda a: a["taken"]))
-    return packed.select("request", F.explode("_x").alias("x"), "_t").select("request", F.col("x.ordinal").alias("ordinal"), F.array_contains("_t", F.col("x.ordinal")).alias("taken"))
+    kinds = {c: items.schema[c].dataType.simpleString() for c in ("request", "ordinal")}
+    ordered = items.select("request", "ordinal", "rank", "tokens", "freshness").repartition("request").sortWithinPartitions("request", "rank", F.desc("freshness"), "tokens", "ordinal")
+    return ordered.select("request", "ordinal", "rank", "tokens").mapInArrow(run, f"request {kinds['request']}, ordinal {kinds['ordinal']}, taken boolean, cut boolean")
 
 
 def truncate(lines: DataFrame, available: int) -> DataFrame:

@@ -22,7 +22,7 @@ cast(no as int) as line_start, cast(no as int) as line_end, 'python' as language
 _EDGES = rf"""with f as ({_FILES}), m as (select file_path, regexp_extract(content, '^from (\S+) import', 1) as module from f),
 t as (select *, case when module like '.%' then regexp_replace(file_path, '[^/]*$', '') || substr(module, 2) || '.py' else replace(module, '.', '/') || '.py' end as target_path from m)
 select substr(sha256(file_path || ':module:' || regexp_extract(file_path, '([^/]+)\.py$', 1)), 1, 16) as source_id, substr(sha256(target_path || ':module:' || regexp_extract(target_path, '([^/]+)\.py$', 1)), 1, 16) as target_id,
-file_path, target_path, module, target_path in (select file_path from f) as is_resolved, 'imports' as kind, cast(0.9 as double) as confidence from t"""
+file_path, target_path, module, target_path in (select file_path from f) as is_resolved, 'imports' as kind, cast(0.9 as double) as confidence, false as is_type_only from t"""
 
 _MODULES = rf"""with f as ({_FILES}) select substr(sha256(file_path || ':module:' || regexp_extract(file_path, '([^/]+)\.py$', 1)), 1, 16) as node_id, 'module' as kind, regexp_extract(file_path, '([^/]+)\.py$', 1) as name,
 replace(regexp_replace(regexp_replace(file_path, '^src/', ''), '\.py$', ''), '/', '.') as qualified_name, file_path, 1 as line_start, cast(len(string_split(content, chr(10))) as int) as line_end, 'python' as language, false as is_test, false as is_entry_point, false as is_generated from f"""

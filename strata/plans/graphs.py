@@ -184,13 +184,6 @@ def truncate_prefix(spark, d):
 _TRUNCATE = """select path, cast(coalesce(max(no) filter (where used <= 50), 0) as bigint) as kept from (select path, no, sum(ceil((length(line) + 1) / 4.0)) over (partition by path order by no rows unbounded preceding) as used from line) t group by path"""
 
 
-def freshness(spark, d):
-    return rel(spark, d, _FRESH.format(days=SPARK.between("review_by", "date '1999-01-01'")))
-
-
-_FRESH = "select id, cast(round(case when date '1999-01-01' > review_by then 0.3 else greatest(0.2, least(1.0, 1 + {days} / 30.0)) end, 4) as double) as freshness from decision"
-
-
 def naive_tokens(spark, d):
     f = rel(spark, d, "select path, content from file").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), budget.tokens(F.col("content")).alias("t"))
     return f.groupBy("folder").agg(F.sum("t").alias("tokens"))
@@ -224,7 +217,7 @@ ORACLES = {
     "khop_kind_filter": _sql(_K, "and not e.is_type_only and e.kind = 'imports'", False, 3),
     "khop_type_only": _sql(_K, "", False, 2),
     "impact_per_file": _IMPACT + " select c.file_path, count(i.node_id) as affected from c left join i using (file_path) group by 1",
-    "impact_capped": _IMPACT + " select file_path, node_id, hop from (select *, row_number() over (partition by file_path order by hop, node_id) as n from i) t where n <= 5",
+    "impact_capped": _IMPACT + " select file_path, node_id, hop from (select *, row_number() over (partition by file_path order by hop, node_id) as n from i) t where n <= 100",
     "impact_relevance": _IMPACT + ", o as (select node_id from node where file_path in (select file_path from c)) select node_id, 'critical' as priority from o union all select distinct node_id, 'high' from i where node_id not in (select node_id from o)",
     "relevance_by_files": _BY_FILES,
     "relevance_by_symbol": _BY_SYMBOL,
@@ -234,13 +227,12 @@ ORACLES = {
     "node_upsert_latest": "select node_id, case when node_id % 7 = 0 then name || '_v2' else name end as name, case when node_id % 7 = 0 then 2 else 1 end as version from node union all select node_id + 1000000, name || '_v2', 2 from node where node_id % 7 = 0",
     "cascade_delete": f"with g as (select node_id from node where file_path in ({_CHANGED})) select source_id, target_id, kind from edge where source_id not in (select node_id from g) and target_id not in (select node_id from g)",
     "edge_admission": "select source_id, target_id, kind from edge where target_id in (select node_id from node where node_id % 3 > 0)",
-    "nodes_by_file": "select file_path, node_id, line_start, row_number() over (partition by file_path order by line_start nulls first, node_id) as place from node where node_id % 100 = 5",
+    "nodes_by_file": "select file_path, node_id, line_start, row_number() over (partition by file_path order by line_start nulls first, node_id) as place from node",
     "complexity_ranking": "select file_path, count(*) as nodes from node where not is_test and not is_generated group by 1 order by 2 desc, 1 limit 50",
     "unique_files": "select distinct file_path from node",
     "context_rank": f"select request, ordinal, row_number() over (partition by request order by rank, freshness desc, tokens, ordinal) as place from ({_ITEMS}) t",
     "budget_fit": _FIT,
     "truncate_prefix": _TRUNCATE,
-    "freshness": _FRESH.format(days=DUCK.between("review_by", "date '1999-01-01'")),
     "naive_tokens": "select regexp_replace(path, '/[^/]*$', '') as folder, cast(sum(ceil(length(content) / 4.0)) as bigint) as tokens from file group by 1",
     "assembled_context": f"with {_FIT[5:]}".replace("select request, ordinal, taken from f where place > 0", f"select f.request, count(*) as items, cast(sum(tokens) as bigint) as tokens from f join ({_ITEMS}) t on t.ordinal = f.ordinal where taken group by 1"),
     "stream_daily_summary": "select strftime(ts, '%Y-%m-%d') as day, count(*) as requests, cast(sum(floor(value)) as bigint) as total from events group by 1",

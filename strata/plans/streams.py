@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.dialect import DUCK, SPARK, plain, run
-from strata.plans import usage
+from strata.plans import engine
 from strata.sources.relations import with_relations
 from strata.streaming import changes, rollup
 
@@ -36,10 +36,12 @@ def stream_rejection_insights(spark: SparkSession, d: str) -> DataFrame:
     rejected = _stream(spark, d, "events").filter("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.when(k < 7, k).alias("reason"))
     tag = uuid.uuid4().hex
     daily = rollup.run_once(changes.rejections(rejected), f"rejections_{tag}", f"{_folder(spark)}/rejections-{tag}")
-    return changes.insights(daily, usage.AS_OF.split("'")[1])
+    return changes.insights(daily, engine.FEEDBACK_AS_OF)
 
 
 _CHANGES = "select path, case when hash is null then 'added' when hash = now then 'unchanged' else 'modified' end as state from (select path, md5(content) as now from file) f left join stored_print using (path)"
 
-ORACLES = {"stream_file_changes": plain(with_relations(DUCK, _CHANGES)), "stream_rejection_insights": plain(with_relations(DUCK, usage.repeated_rejection_insights(DUCK)))}
+_INSIGHTS = "select reason, count(*) as n, cast(round(least(0.9, 0.3 + 0.1 * count(*)), 2) as double) as confidence from feedback_event where feedback = 'rejected' and reason is not null and day >= date '2023-12-30' group by reason having count(*) >= 3"
+
+ORACLES = {"stream_file_changes": plain(with_relations(DUCK, _CHANGES)), "stream_rejection_insights": plain(with_relations(DUCK, _INSIGHTS))}
 QUERIES = {k: globals()[k] for k in ORACLES}

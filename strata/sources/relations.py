@@ -11,18 +11,6 @@ from collections.abc import Callable
 
 from strata.functions.dialect import Spark
 
-#: rule rows: contract, rule, kind, severity, pattern, threshold; patterns keep to what Java, RE2 and Python share
-RULES = (
-    ("guard", "no-secret", "pattern", "error", r"(password|secret|api_key|token)\s*=\s*"),
-    ("guard", "no-mail", "pattern", "warning", r"[a-z0-9.]+@[a-z0-9]+\.[a-z]+"),
-    ("guard", "no-phone", "pattern", "info", r"\+?[0-9]{2,3}[ -][0-9]{3,4}[ -][0-9]{3,4}"),
-    ("style", "no-licence-text", "pattern", "info", r"Licensed under|License, Version"),
-    ("style", "plain-article", "pattern", "warning", r"\bthe the\b"),
-)
-REQUIRED = (("style", "ends-sentence", r"\."), ("guard", "has-licence", r"License"))
-LIMITS = (("guard", "max_lines", 20, 100), ("style", "max_lines", 30, 50), ("guard", "max_function_lines", 60, 100), ("legacy", "max_function_lines", 60, 10))
-
-
 def _rows(rows: list[str]) -> str:
     return " union all ".join(f"select {r}" for r in rows)
 
@@ -58,7 +46,7 @@ def stored_print(d: Spark) -> str:
 
 def context_event(d: Spark) -> str:
     return f"""select o_orderkey as event_id, cast(o_orderdate as date) as day, cast(floor(o_totalprice) as bigint) as naive, {d.idiv('cast(floor(o_totalprice) as bigint) * 2', '3')} as graph,
-      {d.idiv('cast(floor(o_totalprice) as bigint)', '(1 + o_orderkey % 4)')} as full_tokens, o_orderkey % 3 as decisions, o_orderkey % 5 as contracts, o_orderkey % 2 as drift from $orders"""
+      {d.idiv('cast(floor(o_totalprice) as bigint)', '(1 + o_orderkey % 4)')} as full_tokens, o_orderkey % 3 as decisions, o_orderkey % 5 as contracts, o_orderkey % 2 as drift, o_orderkey % 6 as conflicts, o_orderkey % 4 as dropped, cast(o_orderkey % 900 as double) as took_ms from $orders"""
 
 
 def feedback_event(d: Spark) -> str:
@@ -81,41 +69,24 @@ def decision_anchor(d: Spark) -> str:
       case when l_tax <> 0 then l_linenumber * 10 end as line_start, case when l_tax <> 0 then l_linenumber * 10 + cast(l_quantity as int) * 8 end as line_end from $lineitem join $part on l_partkey = p_partkey where l_quantity <= 3"""
 
 
-def rule(d: Spark) -> str:
-    return _rows([f"'{c}' as contract_id, '{r}' as rule_id, '{k}' as kind, '{s}' as severity, {i} as ord" for i, (c, r, k, s, _) in enumerate(RULES)])
-
-
-def limit_rule(d: Spark) -> str:
-    return _rows([f"'{c}' as contract_id, '{m}' as metric, {v} as threshold, {p} as priority" for c, m, v, p in LIMITS])
-
-
-def scope(d: Spark) -> str:
-    return _rows(["'guard' as contract_id, '' as lang, 100 as priority, '^src1' as include, '' as exclude", "'style', 'en', 50, '', '^src2/'", "'legacy', '', 10, '^src[0-9]/', '/d[0-9]*7\\.txt$'".replace("\\.", "[.]")])
-
-
-def hit(d: Spark) -> str:
-    """Violations of line patterns; comment lines are skipped."""
-    return " union all ".join(
-        f"select '{c}' as contract_id, '{r}' as rule_id, '{s}' as severity, path, no, {d.first('line', p)} as matched from line where {d.like('line', p)} and not {d.like('trim(line)', '^(#|//|/[*]|[*])')}" for c, r, _, s, p in RULES
-    )
-
-
-def page(d: Spark) -> str:
-    return f"""select page_id, {d.first('url', '^[a-z]+://([^/]+)', 1)} as service, {d.swap("lower(" + d.first('url', '^[a-z]+://[^/]+(/[^?#]*)', 1) + ")", '[0-9]+', '{id}')} as route, html from $pages"""
-
-
-def endpoint(d: Spark) -> str:
-    return "select service, route, min(page_id) as ord from page where service <> '' and route <> '' group by service, route"
+def code_file(d: Spark) -> str:
+    """Small Python files; what each holds follows from its number."""
+    return """select p_partkey as k, case p_partkey % 4 when 0 then 'src/api/route_' || p_partkey when 1 then 'src/core/m' || p_partkey when 2 then 'tests/test_m' || (p_partkey - 1) else 'src/core/n' || p_partkey end || '.py' as file_path,
+      case p_partkey % 5 when 0 then 'from models import Item' when 1 then 'from service import Item' else 'import os' end || chr(10) || case when p_partkey % 3 = 0 then '@router.get("/items")' else 'X = 1' end || chr(10) ||
+      case when p_partkey % 2 = 0 then 'async def get_item(x):' else 'def make_item(x):' end || chr(10) || case when p_partkey % 4 <> 1 then '    \"\"\"Say it.\"\"\"' else '    y = 1' end || chr(10) ||
+      case p_partkey % 6 when 0 then '    raise ItemError("no")' when 1 then '    try: z()' || chr(10) || '    except:' else '    return x' end || chr(10) || case when p_partkey % 7 = 0 then 'class Kind' || (p_partkey % 5) || 'Service:' else 'Z = 2' end as content from $part"""
 
 
-def outbound_call(d: Spark) -> str:
-    inner = d.unroll("page_id, service", "page", d.every("html", 'href="([^"]+)"', 1), "url")
-    route = d.swap("lower(" + d.swap("url", "^[a-z]+://[^/]+|[?#].*$", "") + ")", "[0-9]+", "{id}")
-    return f"select page_id, service, url, case when route like '%{{id}}' then route else route || '/{{id}}' end as route from (select page_id, service, url, {route} as route from ({inner}) x) y"
+def service_file(d: Spark) -> str:
+    """Source files of seven services that offer and call one another's endpoints."""
+    return """select p_partkey as k, 'svc' || (p_partkey % 7) as service, 'app/f' || p_partkey || '.py' as file_path,
+      case when p_partkey % 3 = 0 then '@app.get("/api/v' || (p_partkey % 7) || '/items' || (p_partkey % 11) || '/{id}")' || chr(10) || '# next' || chr(10) || 'async def get_' || (p_partkey % 11) || '(id):' else 'x = 1' end || chr(10) ||
+      case when p_partkey % 5 = 0 then 'r = requests.post("http://host:80/api/v' || ((p_partkey + 1) % 7) || '/items' || (p_partkey % 13) || '/' || p_partkey || '")' when p_partkey % 5 = 1 then 'r = requests.get(target)' else 'y = 2' end || chr(10) ||
+      case when p_partkey % 4 = 0 then 'u = os.getenv("ORDER_' || (p_partkey % 3) || '_URL")' else 'z = 3' end || chr(10) || case when p_partkey % 6 = 0 then 'bus.subscribe("topic' || (p_partkey % 5) || '")' else 'pass' end as content from $part"""
 
 
 def commit(d: Spark) -> str:
-    return f"select conv_id * 1000 + turn as ord, role as author, coalesce(text, '') as message, {d.part('coalesce(text, ' + chr(39) * 2 + ')', chr(46), 1)} as title from $conversations"
+    return "select conv_id * 1000 + turn as ord, role as author, coalesce(text, '') as message, turn % 8 as n_files from $conversations"
 
 
 def project(d: Spark) -> str:
@@ -124,7 +95,7 @@ def project(d: Spark) -> str:
 
 RELATIONS: dict[str, Callable[[Spark], str]] = {
     f.__name__: f
-    for f in (node, edge, file, line, live_print, stored_print, context_event, feedback_event, context_session, decision, decision_anchor, rule, limit_rule, scope, hit, page, endpoint, outbound_call, commit, project)
+    for f in (node, edge, file, line, live_print, stored_print, context_event, feedback_event, context_session, decision, decision_anchor, code_file, service_file, commit, project)
 }
 
 
