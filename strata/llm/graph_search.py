@@ -1,6 +1,6 @@
 """Nearest neighbours on robust-pruned directed graphs.
 
-Vectors are dealt into shards of bounded size. A shard's graph is built by inserting its vectors
+Vectors are dealt into shards of bounded size, large enough that a search takes the distance to a part of a shard only. A shard's graph is built by inserting its vectors
 in growing batches: a greedy beam search over the graph so far proposes neighbours, and relaxed
 distance pruning keeps a neighbour only if no kept one is closer to it by the factor ``alpha``.
 Among many near copies no candidate is pruned, so a node's places all go to its own group. A graph
@@ -32,16 +32,22 @@ def _sq(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("abd,abd->ab", d, d)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ``width`` nearest places found (-1: none) and their squared distances, nearest first."""
+def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int, took: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ``width`` nearest places found (-1: none) and their squared distances, nearest first.
+
+    No distance is taken twice; ``took`` gets how many were taken in all.
+    """
     n, first = len(q), min(width, len(entries))
     ids = np.full((n, width), -1, np.int32)
     dist = np.full((n, width), np.inf, x.dtype)
     done = np.ones((n, width), bool)
+    seen = np.zeros((n, len(x)), bool)
     e = x[entries]
     far = (e * e).sum(1) - 2 * (q @ e.T)  # less each query's own square
     ids[:, :first] = entries[np.argsort(far, 1, kind="stable")[:, :first]]
     dist[:, :first], done[:, :first] = _sq(x, ids[:, :first], q), False
+    seen[:, entries] = True
+    taken = far.size
     order = np.argsort(dist, 1, kind="stable")
     ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
     live = np.arange(n)
@@ -52,16 +58,20 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.nda
             break
         done[live, pick] = True
         nb = graph[ids[live, pick]]
-        own = ids[live]
-        fresh = (nb >= 0) & ~(nb[:, :, None] == own[:, None, :]).any(2)
-        d = np.where(fresh, _sq(x, nb, q[live]), np.inf)
+        r, c = np.nonzero((nb >= 0) & ~seen[live[:, None], nb])
+        new = nb[r, c]
+        seen[live[r], new] = True
+        taken += len(new)
+        d, i, o = np.full(nb.shape, np.inf, x.dtype), np.full(nb.shape, -1, np.int32), np.ones(nb.shape, bool)
+        apart = x[new] - q[live[r]]
+        d[r, c], i[r, c], o[r, c] = np.einsum("ij,ij->i", apart, apart), new, False
         both_d = np.concatenate([dist[live], d], 1)
-        both_i = np.concatenate([own, np.where(fresh, nb, -1)], 1)
-        both_o = np.concatenate([done[live], ~fresh], 1)
         order = np.argsort(both_d, 1, kind="stable")[:, :width]
         dist[live] = np.take_along_axis(both_d, order, 1)
-        ids[live] = np.take_along_axis(both_i, order, 1)
-        done[live] = np.take_along_axis(both_o, order, 1)
+        ids[live] = np.take_along_axis(np.concatenate([ids[live], i], 1), order, 1)
+        done[live] = np.take_along_axis(np.concatenate([done[live], o], 1), order, 1)
+    if took is not None:
+        took.append(taken)
     return ids, dist
 
 
@@ -126,7 +136,8 @@ def build(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2,
     """Out-neighbours (n x degree, -1: none) and the entries of a graph over distinct vectors."""
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
-    entries = spread(x, math.ceil(n / degree))  # no more groups than these have more vectors than a node has places
+    # no more groups than n / degree have more vectors than a node has places; of more than 256, join_in finds those that are cut off
+    entries = spread(x, min(math.ceil(n / degree), 256))
     order = np.random.default_rng(seed).permutation(n).astype(np.int32)
     order = np.concatenate([entries, order[~np.isin(order, entries)]]).astype(np.int32)
     lo = 1
@@ -157,6 +168,14 @@ def build(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2,
     return graph, join_in(x, graph, entries, width, batch)
 
 
+def narrow(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """``x`` over its largest component, in single precision unless the vectors' lengths are too unlike for it; and that component."""
+    scale = float(np.abs(x).max())
+    y = np.ascontiguousarray(x / scale)
+    size = np.sqrt((y * y).sum(1))
+    return (y.astype(np.float32) if size.min() > 1e-2 * size.max() else y), scale
+
+
 def pack(ids: np.ndarray, x: np.ndarray, copies: int, **how) -> bytes:
     """A shard's index; of equal vectors one is in the graph, with their ``copies`` smallest ids."""
     order = np.argsort(ids, kind="stable")
@@ -164,30 +183,38 @@ def pack(ids: np.ndarray, x: np.ndarray, copies: int, **how) -> bytes:
     _, first, inverse = np.unique(x, axis=0, return_index=True, return_inverse=True)
     by = np.argsort(inverse.ravel(), kind="stable")
     groups = [np.unique(g)[:copies] for g in np.split(ids[by], np.cumsum(np.bincount(inverse.ravel()))[:-1])]
-    graph, entries = build(np.ascontiguousarray(x[first], np.float32), **how)
+    graph, entries = build(narrow(x[first].astype(np.float64))[0], **how)
     return pickle.dumps((x[first], groups, graph, entries))
 
 
-def visit(index: bytes, query_ids: np.ndarray, q: np.ndarray, k: int, width: int) -> list[tuple[int, int, float]]:
-    """(query, vector, distance): each query's ``k`` nearest found in the shard, without its own id."""
+def visit(index: bytes, query_ids: np.ndarray, q: np.ndarray, k: int, width: int, took: list[int] | None = None, piece: int = 256) -> list[tuple[int, int, float]]:
+    """(query, vector, distance): each query's ``k`` nearest found in the shard, without its own id; ``piece`` queries at once."""
     x, groups, graph, entries = pickle.loads(index)
-    found, _ = beam_search(x.astype(np.float32), graph, entries, q.astype(np.float32), min(width, len(x)))
-    x64, q64 = x.astype(np.float64), q.astype(np.float64)
+    x64 = x.astype(np.float64)
+    near, scale = narrow(x64)
     out = []
-    for i, own in enumerate(query_ids.tolist()):
-        at = found[i][found[i] >= 0]
-        dist = np.sqrt(((x64[at] - q64[i]) ** 2).sum(1))
-        near = sorted((d, v) for a, d in zip(at.tolist(), dist.tolist()) for v in groups[a].tolist() if v != own)
-        out += [(own, v, d) for d, v in near[:k]]
+    for lo in range(0, len(q), piece):
+        own64 = q[lo : lo + piece].astype(np.float64)
+        asked = own64 / scale
+        at_ = near if np.abs(asked).max() < 1e3 else near.astype(np.float64)
+        found, _ = beam_search(at_, graph, entries, asked.astype(at_.dtype), min(width, len(x)), took)
+        for i, own in enumerate(query_ids[lo : lo + piece].tolist()):
+            at = found[i][found[i] >= 0]
+            # summed from the first component to the last, so that the measure doesn't depend on how it is vectorised
+            dist = np.sqrt(np.add.accumulate((x64[at] - own64[i]) ** 2, axis=1)[:, -1])
+            best = sorted((d, v) for a, d in zip(at.tolist(), dist.tolist()) for v in groups[a].tolist() if v != own)
+            out += [(own, v, d) for d, v in best[:k]]
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 2048, block_rows: int = 256, degree: int = 32, width: int = 96) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, block_rows: int = 4096, degree: int = 32, width: int = 128) -> DataFrame:
     """The ``k`` nearest of ``vectors`` to each of ``queries`` (both vec_id, embedding) -> ``SCHEMA``.
 
     Ids are not compared with themselves, equal distances go by the smaller id, rows repeated in id
     and vector count once. Rows without an id, and vectors that are null, zero or not finite, take
-    no part; vectors meet only those of their own length. No valid rows: no rows.
+    no part; vectors meet only those of their own length; other columns are ignored. No valid rows: no rows.
+    A shard's index travels to as many tasks as there are blocks of ``block_rows`` queries, a query's vector
+    to every shard. Graphs save distances only where a shard is much larger than ``width * degree``.
     """
     rows, asked = valid(vectors), valid(queries)
     shards = max(1, math.ceil(rows.count() / shard_rows))
