@@ -83,26 +83,45 @@ def parse(formatted: str) -> list[tuple[str, str]] | None:
     return turns
 
 
+def loss_span(role: str, rendering: str) -> tuple[int, int] | None:
+    """Where a turn's rendering holds what a model is trained to say (code points, end exclusive): an assistant's text, without its marks."""
+    a, b = MARKS["assistant"]
+    return (len(a), len(rendering) - len(b)) if role == "assistant" else None
+
+
+def unescape(text: str) -> str:
+    """What :func:`escape` escaped, as :func:`parse` reads it."""
+    return re.sub(r"\\([\\\[<])", r"\1", text)
+
+
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """``conversations(conv_id, turn, role, text)`` -> ``(conv_id, turn, segment)``, a row a row.
+    """``conversations(conv_id, turn, role, text)`` -> ``(conv_id, turn, segment, escaped, loss)``, a row a row.
 
-    Null role and null text count as empty. Other columns are ignored.
+    A conversation's rendering is its segments in the order of turns; ``loss`` is the mask, the spans of the segment that count
+    in training; ``escaped`` says that the text in it is escaped. Null role and null text count as empty. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            made = [render(r or "", t or "") for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["conv_id", "turn", "segment"])
+            made, loss, escaped = [], [], []
+            for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                made.append(render(r or "", t or ""))
+                escaped.append(made[-1] != _put(r or "", t or ""))
+                span = loss_span(r or "", made[-1])
+                loss.append([{"start": span[0], "end": span[1]}] if span else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string()), pa.array(escaped, pa.bool_()), pa.array(loss, spans)], ["conv_id", "turn", "segment", "escaped", "loss"])
 
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return rows.mapInArrow(run, "conv_id long, turn long, segment string")
+    return rows.mapInArrow(run, "conv_id long, turn long, segment string, escaped boolean, loss array<struct<start:long,end:long>>")
 
 
 def digest_conversations(segments: DataFrame) -> DataFrame:
     """Read formatted conversations back: one row of ``SCHEMA`` a conversation.
 
-    Turns go by turn number, null first; equal numbers by their rendering. Rows without a
-    conversation id form one conversation. A conversation is streamed, never held whole.
+    Turns are what the parser recovers from the renderings, the loss columns what lies under the mask. Turns go by turn
+    number, null first; equal numbers by their rendering. Rows without a conversation id form one conversation. A
+    conversation is streamed, never held whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +132,18 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
                 done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for b in batches:
-            for conv, segment in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            for conv, segment, escaped, loss in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if state is None or conv != now:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in parse(segment):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                    if role == "assistant":
-                        state[2] += len(text)
-                        state[3].update(text.encode())
+                for span in loss:
+                    said = segment[span["start"] : span["end"]]
+                    said = unescape(said) if escaped else said
+                    state[2] += len(said)
+                    state[3].update(said.encode())
                 state[4] += len(segment)
             if len(done) > 1000:
                 yield _rows(done)
@@ -141,4 +162,9 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(conversations: DataFrame) -> DataFrame:
+    """Format the conversations and read them back: one row of ``SCHEMA`` a conversation.
+
+    Null role and text count as empty, a null conversation id is a conversation of its own, repeated rows are repeated
+    turns, texts may be of any length, other columns are ignored. Empty table: no rows.
+    """
     return digest_conversations(format_turns(conversations))

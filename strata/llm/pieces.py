@@ -274,11 +274,19 @@ def encode_documents(docs: DataFrame, model_file: str, keep: int = 600_000, batc
     Null text counts as empty, which encodes to the end id alone and decodes to the empty text.
     Null ids stay null, repeated rows stay repeated, an empty table gives an empty table.
     ``keep`` bounds the chunks a worker remembers, ``batch_chars`` the characters it encodes at once
-    (one longer text is still encoded whole).
+    (one longer text is still encoded whole; a chunk without a space, however long, goes through the heap).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small tuples and no cycles
+        was = gc.isenabled()
+        gc.disable()  # millions of small tuples and no cycles; workers are reused, so it is put back
+        try:
+            yield from encoded(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model_file, keep)
         sp = enc.v.library
         for batch in batches:

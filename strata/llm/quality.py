@@ -137,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """``docs`` -> ``SCHEMA``, a row a row; with ``columns``: those columns of the rows that are predicted 1.
 
-    Null text counts as empty; a null id is not held out; an empty table gives an empty table.
+    Null text counts as empty; a null id is not held out; texts are scored whole; repeated rows stay repeated and score
+    alike; columns other than ``doc_id`` and ``text`` are ignored, or with ``columns`` passed on, whatever their names. An
+    empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: SIZE weights
 

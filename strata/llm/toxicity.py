@@ -52,6 +52,22 @@ def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tupl
     return np.where(toxic, 1 + (hits > middle), 0), ratio
 
 
+def loss(z: np.ndarray, first: float, gap: float, y: np.ndarray) -> tuple[float, np.ndarray, float, float]:
+    """The mean loss of grades ``y`` at latent scores ``z``, and what it changes by with each score, the first cut, and the log of the gap to the second.
+
+    The gap is a power, so the cuts stay in order.
+    """
+    g = np.exp(gap)
+    a, b = _sigmoid(z - first), _sigmoid(z - first - g)  # P(y > 0), P(y > 1)
+    # of P(y=0) = 1-a, P(y=1) = a-b, P(y=2) = b
+    da, db = a * (1 - a), b * (1 - b)
+    mid = np.maximum(a - b, 1e-12)
+    ga = np.where(y == 0, a, np.where(y == 1, -da / mid, 0.0))
+    gb = np.where(y == 2, -(1 - b), np.where(y == 1, db / mid, 0.0))
+    cost = -np.log(np.maximum(np.where(y == 0, 1 - a, np.where(y == 1, mid, b)), 1e-300)).mean()
+    return cost, (ga + gb) / len(y), -(ga + gb).mean(), -gb.mean() * g
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], steps: int = 250, l2: float = 2e-4, rate: float = 0.3) -> Model:
     """The model of (word ids, counts) rows. Without both classes nothing is toxic."""
     t = np.asarray(toxic, int) > 0
@@ -69,17 +85,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], steps: int
     first = base
     seen_w, seen_c = np.full(len(used), 1e-8), np.full(2, 1e-8)
     for _ in range(steps):
-        z = np.bincount(at, val * w[col], len(rows))
-        g = np.exp(gap)
-        a, b = _sigmoid(z - first), _sigmoid(z - first - g)  # P(y > 0), P(y > 1)
-        # d(-log-likelihood)/dz and by the cuts, of P(y=0) = 1-a, P(y=1) = a-b, P(y=2) = b
-        da, db = a * (1 - a), b * (1 - b)
-        mid = np.maximum(a - b, 1e-12)
-        ga = np.where(y == 0, a, np.where(y == 1, -da / mid, 0.0))
-        gb = np.where(y == 2, -(1 - b), np.where(y == 1, db / mid, 0.0))
-        dz = (ga + gb) / len(rows)
+        _, dz, *dc = loss(np.bincount(at, val * w[col], len(rows)), first, gap, y)
         dw = np.bincount(col, val * dz[at], len(used)) + l2 * w
-        dc = np.array([-(ga + gb).mean(), -gb.mean() * g])
+        dc = np.array(dc)
         seen_w += dw * dw
         seen_c += dc * dc
         w = np.maximum(w - rate * dw / np.sqrt(seen_w), 0)
@@ -115,7 +123,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` -> ``SCHEMA``, a row a row.
 
     ``toxic`` says that a grade above 0 is likelier than not, ``grade`` is the likeliest number of
-    cuts passed. Null text counts as empty; an empty table gives an empty table.
+    cuts passed: both rise with the latent score, which the words' weights add up to, so severity follows how many
+    of the learned words a text holds. Null text counts as empty, texts are scored whole; repeated rows stay
+    repeated and score alike; other columns are ignored; an empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: SIZE weights
 

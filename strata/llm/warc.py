@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from strata.llm.common import cut, shared_dir
+from strata.llm.common import cut, drop_cut, shared_dir
 
 SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload string"
 #: column -> header it is read from; predicates on these are decided before a payload is touched
@@ -64,6 +64,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     # the sink ends a record with the second of its two line ends
     record = F.concat(F.concat_ws(EOL, *head), F.lit(EOL * 2), block, F.lit(EOL))
     p.select(record.alias("value")).write.option("lineSep", EOL).option("compression", "gzip").text(path)
+    drop_cut(first)
 
 
 class Files(InputPartition):
@@ -184,7 +185,11 @@ def read_archive(spark, path: str, **options: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to the shared folder, read them back; one row a page. Empty table: no rows."""
+    """Write the pages to the shared folder, read them back; one row a page.
+
+    Nulls are as :func:`write_archive` puts them: null html is read back as no bytes, a null page id as null. Rows that
+    repeat a page id stay rows; other columns are ignored; html may be of any length. Empty table: no rows.
+    """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/strata/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
