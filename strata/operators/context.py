@@ -52,7 +52,7 @@ def graph_items(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files:
     starts = own.filter("kind = 'module'").select("request", F.col("node_id").alias("start"))
     far = graph.reach(starts.select("start", F.col("start").alias("node_id")).distinct(), edges, depth + 1, forward=True, type_only=True)
     far = starts.join(far, "start").groupBy("request", "node_id").agg(F.min("hop").alias("hop"))
-    tests = own.select("request", "name").distinct().join(inner.filter("is_test").select("name", "node_id"), "name")
+    tests = graph.tests_of(own.select("request", "node_id", "kind", "name"), nodes, edges).withColumnRenamed("test_id", "node_id")
     every = (
         own.select("request", "node_id", F.lit(0).alias("rank"))
         .unionByName(far.select("request", "node_id", F.when(F.col("hop") <= depth, 1).otherwise(2).alias("rank")))

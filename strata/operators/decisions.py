@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.ranking import placed
+
 #: fixed values: statuses that a search leaves out
 CLOSED = ("superseded", "expired")
 #: fixed values: words that mark a commit as a decision
@@ -70,7 +72,7 @@ def by_files(decisions: DataFrame, asked: DataFrame, most: int | None = None, le
     """:func:`relevance` with ``place``, best first, ties by id; with ``most`` the first ones."""
     scored = relevance(decisions, asked, least)
     got = scored.orderBy(F.desc("score"), "id").limit(most) if most else scored
-    return got.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return placed(got, F.desc("score"), "id").withColumn("place", F.col("place") + 1)
 
 
 def by_tags(decisions: DataFrame, tags: list[str]) -> DataFrame:

@@ -6,9 +6,11 @@ feedback, reason)``, ``sessions(session_id, decisions_provided, contracts_provid
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.ranking import placed
+
 SUMS = ("naive", "graph", "full_tokens", "decisions", "contracts", "drift", "conflicts", "dropped")
 #: fixed values: what counts as accepted
 TAKEN = ("accepted", "modified")
@@ -77,13 +79,13 @@ def benchmark(scenarios: DataFrame) -> DataFrame:
 def scenario_files(nodes: DataFrame) -> DataFrame:
     """Files for a benchmark: by the number of their nodes (no tests, nothing generated) the first, a third down, two thirds down, and the last.
 
-    Only places are looked up, after one sort; the table of files is never gathered.
+    Only places are looked up, after one distributed sort; the table of files is never gathered.
     """
     n = nodes.filter("not is_test and not is_generated").groupBy("file_path").agg(F.count("*").alias("nodes"))
-    placed = n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("nodes"), "file_path")) - 1)
-    size = n.agg(F.count("*").alias("size"))
+    every = placed(n, F.desc("nodes"), "file_path")
+    size = every.agg(F.count("*").alias("size"))
     at = size.select("size", F.explode(F.array_distinct(F.array(F.lit(0), F.floor(F.col("size") / 3), F.floor(2 * F.col("size") / 3), F.col("size") - 1))).alias("place")).filter("size > 0")
-    return placed.join(F.broadcast(at), "place").select("file_path", "nodes", "place")  # four rows
+    return every.join(F.broadcast(at), "place").select("file_path", "nodes", "place")  # four rows
 
 
 def rate(kind: Column) -> Column:

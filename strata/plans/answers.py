@@ -162,6 +162,14 @@ _SQL = {
     "decision_texts": f"select id, {_DECIDED} as text from decision",
     "contract_texts": " union all ".join(f"select '{c[0]}' as contract_id, {_contract_text(c)} as text" for c in CONTRACTS),
     "freshness": "select id, round(case when date '1998-06-01' > review_by then 0.3 when num % 3 = 0 then greatest(0.2, 1 - datediff('day', review_by - interval 400 day, date '1998-06-01') / 90.0) else 1.0 end, 6) as freshness from decision",
+    "context_decisions": f"""with w as ({_W}), a as (select distinct decision as num, file_path as f from decision_anchor), o as (select * from decision where status not in ('superseded', 'expired')),
+      s as (select w as request, num, max(case when f = w then 1.0 when {_FOLDER.format('f')} = {_FOLDER.format('w')} then 0.5 when {_HEAD.format('f')} = {_HEAD.format('w')} then 0.2 else 0.0 end) as score from a cross join w group by 1, 2),
+      b as (select num from o where num not in (select num from a) order by id limit 5),
+      r as (select request, o.*, score from s join o using (num) where score > 0 union all select w, o.*, 0.1 from w cross join b join o using (num)),
+      p as (select *, row_number() over (partition by request order by score desc, id) as n from r)
+      select request, id, case when score >= 0.8 or num % 8 = 1 then 'high' when score >= 0.3 then 'medium' else 'low' end as priority,
+      round(case when {_AS_OF} > review_by then 0.3 when num % 3 = 0 then greatest(0.2, 1 - datediff('day', review_by - interval 400 day, {_AS_OF}) / 90.0) else 1.0 end, 6) as freshness from p where n <= 5""",
+    "context_contracts": " union all ".join(f"select path as request, '{c}' as contract_id, 'medium' as priority from file where doc_id < 100 and {w}" for c, w in _IN_SCOPE.items()),
     "lifetime_stats": f"select *, {_SAVED} from (select {_SUMS} from context_event) t",
     "daily_summary": _DAILY,
     "daily_trend": f"select day, requests, saved, reduction_pct from ({_DAILY}) x order by day desc limit 30",

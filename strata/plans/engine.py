@@ -272,6 +272,18 @@ def freshness(spark, d):
     return _journal(spark, d).select("id", F.round(context.freshness(F.col("review_by"), F.col("last_validated"), F.lit("1998-06-01").cast("timestamp")), 6).alias("freshness"))
 
 
+def context_decisions(spark, d):
+    """Decisions that each asked file's request is offered."""
+    requests = _asked(spark, d).select(F.col("file_path").alias("request"), "file_path")
+    got = context.decision_items(requests, _journal(spark, d), _as_of())
+    return got.select("request", F.col("ref").alias("id"), "priority", F.round("freshness", 6).alias("freshness"))
+
+
+def context_contracts(spark, d):
+    requests = rel(spark, d, "select path as request, path as file_path from file where doc_id < 100")
+    return context.contract_items(requests, _contracts(spark)).select("request", F.col("ref").alias("contract_id"), "priority")
+
+
 # usage
 
 
@@ -416,7 +428,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scope_match, contracts_by_priority, contract_guidance, pattern_violations, required_pattern, max_lines, max_function_lines, effective_severity, evaluation_rollup, threshold_conflicts, evaluation_texts, rule_precision_vs_labels,
         conventions_found, convention_contract, decision_relevance, decisions_by_tag, anchor_overlap, supersede_conflicts, next_decision_id, decision_drift, decision_drift_for_files, context_rot, change_classification, graph_drift,
         graph_drift_for_files, incremental_plan, drift_overall, drift_report, anchor_region_hash, anchor_shorthand, criteria_eval, intent_rollup, intent_texts, project_routing, comment_lines, language_files, decision_texts, contract_texts,
-        freshness, lifetime_stats, daily_summary, daily_trend, daily_refreshed, before_after, benchmark_averages, recent_events, scenario_ratios, scenario_files, acceptance_rate, rejection_analysis, acceptance_trend,
+        freshness, context_decisions, context_contracts, lifetime_stats, daily_summary, daily_trend, daily_refreshed, before_after, benchmark_averages, recent_events, scenario_ratios, scenario_files, acceptance_rate, rejection_analysis, acceptance_trend,
         repeated_rejection_insights, context_effectiveness, effectiveness_text, benchmark_table, commit_candidates, endpoints_extracted, outbound_calls, url_path_normalise, service_url_vars, event_contracts, resolve_dependencies,
         service_map, cross_service_impact, service_scan,
     )

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.dialect import DUCK, SPARK, plain, run
-from strata.operators import budget, graph
+from strata.operators import budget, context, graph, usage
+from strata.sources import collect
 from strata.sources.relations import with_relations
 from strata.streaming import rollup
 
@@ -91,10 +90,12 @@ def relevance_by_files(spark, d):
 
 
 _PRIORITY = "case min(rank) when 0 then 'critical' when 1 then 'high' when 2 then 'medium' else 'low' end as priority"
+_TESTS = """select source_id as node_id from edge e join o on e.target_id = o.node_id where e.kind = 'tests'
+ union select t.node_id from node t join o on o.kind = 'module' and t.kind = 'module' and t.is_test and t.name in ('test_' || o.name, o.name || '_test', o.name || '_spec')"""
 _BY_FILES = f"""with c as ({_CHANGED}), o as (select node.* from node join c using (file_path) where not is_external),
  {_reach_sql('', True, 3, "select node_id as start, node_id from o where kind = 'module'")}, u as (select node_id, 0 as rank from o union all
  select k.node_id, case when min(hop) <= 2 then 1 else 2 end from k join node n on n.node_id = k.node_id and not n.is_external group by k.node_id
- union all select node_id, 3 from node where is_test and not is_external and name in (select name from o)) select node_id, {_PRIORITY} from u group by node_id"""
+ union all select t.node_id, 3 from ({_TESTS}) t join node n on n.node_id = t.node_id and not n.is_external) select node_id, {_PRIORITY} from u group by node_id"""
 
 
 def relevance_by_symbol(spark, d):
@@ -114,16 +115,15 @@ def scope_prefix(spark, d):
 
 def test_file_lookup(spark, d):
     nodes = _nodes(spark, d)
-    asked = nodes.filter("node_id % 100 = 3 and not is_test").select("name").distinct()
-    return nodes.filter("is_test").join(asked, "name", "left_semi").select("node_id").distinct()
+    return graph.tests_of(nodes.filter("not is_test").select("node_id", "kind", "name"), nodes, _edges(spark, d)).withColumnRenamed("test_id", "node_id")
 
 
 def cycles_bounded(spark, d):
-    return graph.cycles(_edges(spark, d), 4)
+    return graph.cycles(_edges(spark, d), 10)
 
 
 _CYCLES = """with e as (select distinct source_id as a, target_id as b from edge where source_id <> target_id), p(head, tail, path, size) as (select a, b, [a, b], 2 from e where b > a
- union all select p.head, e.b, list_append(p.path, e.b), p.size + 1 from p join e on e.a = p.tail where p.size < 4 and e.b > p.head and not list_contains(p.path, e.b))
+ union all select p.head, e.b, list_append(p.path, e.b), p.size + 1 from p join e on e.a = p.tail where p.size < 10 and e.b > p.head and not list_contains(p.path, e.b))
  select array_to_string(path, '>') as cycle, size from p join e on e.a = p.tail and e.b = p.head"""
 
 
@@ -196,13 +196,92 @@ def assembled_context(spark, d):
 
 
 def stream_daily_summary(spark, d):
-    """Also files the checkpoint of the stream in the session's checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """As a stream over all events; its state and rows are in the session's checkpoint folder."""
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path if "*" in path else path + "*").select(F.col("ts").cast("timestamp").alias("ts"), "value")
-    tag = uuid.uuid4().hex
-    return rollup.run_once(rollup.daily(events), f"daily_{tag}", f"{folder}/daily-{tag}")
+    return rollup.run_once(rollup.daily(events), ["day"])
+
+
+def cycles_shortest(spark, d):
+    return graph.cycles(_edges(spark, d), 10, most=50)
+
+
+def edge_upsert(spark, d):
+    """Edges keyed by source, target and kind; the new ones win."""
+    e = _edges(spark, d).select("source_id", "target_id", "kind", "confidence", F.lit(1).alias("version"))
+    new = e.filter("source_id % 3 = 0").select("source_id", "target_id", F.when(F.col("source_id") % 2 == 0, F.col("kind")).otherwise("tests").alias("kind"), F.lit(0.5).alias("confidence"), F.lit(2).alias("version"))
+    return graph.upsert(e, new, ["source_id", "target_id", "kind"]).select("source_id", "target_id", "kind", F.round("confidence", 4).alias("confidence"))
+
+
+def fingerprint_upsert(spark, d):
+    prints = lambda x, v: rel(spark, d, f"select path, hash from {x}").withColumn("version", F.lit(v))
+    return graph.upsert(prints("stored_print", 1), prints("live_print", 2), ["path"]).select("path", "hash")
+
+
+def session_upsert(spark, d):
+    s = rel(spark, d, "select * from context_session").withColumn("version", F.lit(1))
+    new = s.filter("session_id % 4 = 0").select("session_id", (F.col("decisions_provided") + 10).alias("decisions_provided"), "contracts_provided", F.lit(2).alias("version"))
+    return graph.upsert(s, new.unionByName(new.withColumns({"session_id": F.col("session_id") + 1000000, "version": F.lit(3)})), ["session_id"]).drop("version")
+
+
+def node_lookup(spark, d):
+    return collect.lookup(_nodes(spark, d), "node_id", 7).select("node_id", "kind", "qualified_name")
+
+
+def fingerprint_lookup(spark, d):
+    return collect.lookup(rel(spark, d, "select path, hash from stored_print"), "path", "gone/d1.txt")
+
+
+def purge_vanished(spark, d):
+    """The graph without files that are gone, with the edges that touch them."""
+    nodes = _nodes(spark, d)
+    gone = nodes.select("file_path").distinct().join(rel(spark, d, "select distinct file_path from node where node_id % 3 > 0"), "file_path", "left_anti")
+    left, edges = graph.remove_files(nodes, _edges(spark, d), gone)
+    return left.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+
+
+def nodes_by_priority(spark, d):
+    return relevance_by_files(spark, d).groupBy("priority").agg(F.count("*").alias("nodes"))
+
+
+def _context_files(spark, d):
+    return rel(spark, d, "select distinct file_path, file_path || chr(10) || 'b' as content from node where node_id % 3 > 0")
+
+
+def context_graph_items(spark, d):
+    """Items that the graph offers to a request for each file asked for, by priority."""
+    asked = rel(spark, d, "select distinct file_path as request, file_path from node where node_id % 400 = 1 union all select 'r', 'none.py'")
+    items = context.graph_items(asked, _nodes(spark, d), _edges(spark, d), _context_files(spark, d))
+    return items.groupBy("request", "item_type", "priority").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+
+
+_CONTEXT = """with recursive q as (select distinct file_path as request from node where node_id % 400 = 1), o as (select q.request, n.* from q join node n on n.file_path = q.request and not n.is_external),
+ r(request, node_id, hop) as (select request, node_id, 0 from o where kind = 'module' union select r.request, e.target_id, r.hop + 1 from r join edge e on e.source_id = r.node_id where r.hop < 3),
+ f as (select request, r.node_id, min(hop) as hop from r group by 1, 2 having min(hop) > 0),
+ t as (select o.request, e.source_id as node_id from edge e join o on e.target_id = o.node_id where e.kind = 'tests' union select o.request, t.node_id from node t join o on o.kind = 'module' and t.kind = 'module' and t.is_test and t.name in ('test_' || o.name, o.name || '_test', o.name || '_spec')),
+ u as (select request, node_id, 0 as rank from o union all select request, node_id, case when hop <= 2 then 1 else 2 end from f union all select request, node_id, 3 from t),
+ i as (select u.request, n.*, min(rank) as rank from u join node n on n.node_id = u.node_id and not n.is_external group by all),
+ c as (select request, rank, case when rank < 2 then '# File: ' || regexp_extract(file_path, '([^/]+)$', 1) || chr(10) || file_path || chr(10) || 'b' else kind || ': ' || qualified_name || chr(10) || '  ' || regexp_extract(file_path, '([^/]+)$', 1) || ':' || line_start || '-' || line_end end as content
+   from i where rank > 1 or file_path in (select file_path from node where node_id % 3 > 0))
+ select request, 'file_content' as item_type, case rank when 0 then 'critical' when 1 then 'high' when 2 then 'medium' else 'low' end as priority, count(*) as items, cast(sum(ceil(len(content) / 4.0)) as bigint) as tokens from c group by 1, 2, 3
+ union all select 'r', 'warning', 'high', 1, cast(ceil(len('No node of the graph is in none.py') / 4.0) as bigint)"""
+
+
+def context_choice(spark, d):
+    """Items of all requests packed into 108 tokens; the first critical item is cut to fit."""
+    got = budget.choose(_items(spark, d).withColumn("tokens", F.col("tokens") * F.when(F.col("rank") == 0, 4).otherwise(1)), 108)
+    return got.filter("taken").groupBy("request").agg(F.count("*").alias("items"), F.count_if("cut").alias("cut"))
+
+
+def newest_commits(spark, d):
+    return collect.newest_commits(rel(spark, d, "select cast(ord as string) as sha, ord as committed_at from commit"), 500)
+
+
+def events_recorded(spark, d):
+    """Events after a batch is recorded that repeats some of them."""
+    e = rel(spark, d, "select event_id, naive, full_tokens from context_event")
+    return usage.appended(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0")).select("event_id", "naive", "full_tokens")
 
 
 def _sql(tail: str, where: str, forward: bool, hops: int) -> str:
@@ -222,8 +301,26 @@ ORACLES = {
     "relevance_by_files": _BY_FILES,
     "relevance_by_symbol": _BY_SYMBOL,
     "scope_prefix": "select node_id, file_path from node where file_path like 'src/Brand#1%'",
-    "test_file_lookup": "select distinct node_id from node where is_test and name in (select name from node where node_id % 100 = 3 and not is_test)",
+    "test_file_lookup": f"with o as (select * from node where not is_test) select distinct node_id from ({_TESTS}) t",
     "cycles_bounded": _CYCLES,
+    "cycles_shortest": _CYCLES + " order by size, cycle limit 50",
+    "edge_upsert": """with n as (select source_id, target_id, case when source_id % 2 = 0 then kind else 'tests' end as kind from edge where source_id % 3 = 0)
+      select source_id, target_id, kind, 0.5 as confidence from n union all select source_id, target_id, kind, cast(round(confidence, 4) as double) from edge e where not exists (from n where n.source_id = e.source_id and n.target_id = e.target_id and n.kind = e.kind)""",
+    "fingerprint_upsert": "select path, coalesce(l.hash, s.hash) as hash from live_print l full outer join stored_print s using (path)",
+    "session_upsert": "select session_id, decisions_provided + case when session_id % 4 = 0 then 10 else 0 end as decisions_provided, contracts_provided from context_session union all select session_id + 1000000, decisions_provided + 10, contracts_provided from context_session where session_id % 4 = 0",
+    "node_lookup": "select node_id, kind, qualified_name from node where node_id = 7",
+    "fingerprint_lookup": "select path, hash from stored_print where path = 'gone/d1.txt'",
+    "purge_vanished": """with g as (select node_id from node where file_path not in (select file_path from node where node_id % 3 > 0))
+      select (select count(*) from node where node_id not in (select node_id from g)) as nodes, (select count(*) from edge where source_id not in (select node_id from g) and target_id not in (select node_id from g)) as edges""",
+    "nodes_by_priority": _BY_FILES.replace("select node_id, " + _PRIORITY + " from u group by node_id", "select priority, count(*) as nodes from (select node_id, " + _PRIORITY + " from u group by node_id) z group by 1"),
+    "context_graph_items": _CONTEXT,
+    "context_choice": f"""with recursive i as (select *, row_number() over (partition by request order by rank, freshness desc, tokens, ordinal) as place from (select request, ordinal, rank, freshness, tokens * case when rank = 0 then 4 else 1 end as tokens from ({_ITEMS}) x) y),
+      f(request, place, used, taken, cut) as (select request, 0, cast(0 as bigint), 0, 0 from i group by request union all select i.request, i.place,
+        case when f.used + i.tokens <= 108 then f.used + i.tokens when f.taken = 0 and i.rank = 0 then 108 else f.used end, f.taken + case when f.used + i.tokens <= 108 or (f.taken = 0 and i.rank = 0) then 1 else 0 end,
+        f.cut + case when f.used + i.tokens > 108 and f.taken = 0 and i.rank = 0 then 1 else 0 end from f join i on i.request = f.request and i.place = f.place + 1)
+      select request, max(taken) as items, max(cut) as cut from f group by request having max(taken) > 0""",
+    "newest_commits": "select cast(ord as varchar) as sha, ord as committed_at from commit order by ord desc limit 500",
+    "events_recorded": "select event_id, naive, full_tokens from context_event where event_id % 2 = 0 or event_id % 3 = 0",
     "node_upsert_latest": "select node_id, case when node_id % 7 = 0 then name || '_v2' else name end as name, case when node_id % 7 = 0 then 2 else 1 end as version from node union all select node_id + 1000000, name || '_v2', 2 from node where node_id % 7 = 0",
     "cascade_delete": f"with g as (select node_id from node where file_path in ({_CHANGED})) select source_id, target_id, kind from edge where source_id not in (select node_id from g) and target_id not in (select node_id from g)",
     "edge_admission": "select source_id, target_id, kind from edge where target_id in (select node_id from node where node_id % 3 > 0)",

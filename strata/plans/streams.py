@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.dialect import DUCK, SPARK, plain, run
+from strata.operators.lineage import shared_dir
 from strata.plans import engine
 from strata.sources.relations import with_relations
 from strata.streaming import changes, rollup
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     path = f"{d}/{name}.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
@@ -27,15 +22,14 @@ def stream_file_changes(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), "lang", F.lit("/d"), "doc_id", F.lit(".txt"))
     files = _stream(spark, d, "documents").select(path.alias("path"), F.col("text").alias("content"))
     stored = run(spark, d, with_relations(SPARK, "select path, hash from stored_print"))
-    return changes.land(changes.changes(files, stored), _folder(spark))
+    return changes.land(changes.changes(files, stored), shared_dir(spark))
 
 
 def stream_rejection_insights(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of rejections as a stream; reasons that recur in the last days."""
     k = F.get_json_object("props", "$.k").cast("int") % 8
     rejected = _stream(spark, d, "events").filter("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.when(k < 7, k).alias("reason"))
-    tag = uuid.uuid4().hex
-    daily = rollup.run_once(changes.rejections(rejected), f"rejections_{tag}", f"{_folder(spark)}/rejections-{tag}")
+    daily = rollup.run_once(changes.rejections(rejected), ["day", "reason"])
     return changes.insights(daily, engine.FEEDBACK_AS_OF)
 
 

@@ -47,6 +47,33 @@ def _decision(record: dict) -> dict:
     return record | {"code_anchors": anchors, "constraints": rules}
 
 
+#: fixed values: what kinds, severities and statuses a record may name
+RULE_KINDS = ("pattern", "threshold", "architectural", "ai_antipattern")
+SEVERITIES = ("error", "warning", "info")
+CHECKS = ("file_exists", "file_contains", "function_exists", "wired", "cli_works", "mcp_tool_exists", "test_passes", "grep_match", "grep_no_match", "custom", "manual")
+INTENT_STATUSES = ("draft", "active", "verified", "partial", "failed", "archived")
+
+
+def one_of(value, allowed: tuple[str, ...], default: str) -> str:
+    """``value`` in lower case if it is allowed, else the default."""
+    named = str(value).strip().lower().replace("-", "_") if value is not None else default
+    return named if named in allowed else default
+
+
+def _contract(record: dict) -> dict:
+    rules = [r | {"kind": one_of(r.get("kind"), RULE_KINDS, "pattern"), "severity": one_of(r.get("severity"), SEVERITIES, "warning")} for r in record.get("rules") or [] if isinstance(r, dict)]
+    return record | {"rules": rules, "scope": record.get("scope") or {}, "priority": record.get("priority", 100)}
+
+
+def _intent(record: dict) -> dict:
+    """Criteria may be given by ``type`` and ``check`` for short, and as plain text for one that needs a person."""
+    criteria = []
+    for c in record.get("criteria") or record.get("acceptance_criteria") or []:
+        c = {"description": c} if isinstance(c, str) else c
+        criteria.append(c | {"check_type": one_of(c.get("check_type", c.get("type")), CHECKS, "manual"), "check_value": c.get("check_value", c.get("check")), "satisfied": bool(c.get("satisfied", False))})
+    return record | {"criteria": criteria, "status": one_of(record.get("status"), INTENT_STATUSES, "active")}
+
+
 def _read(spark: SparkSession, root: str, schema: str, shaped) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
@@ -72,11 +99,11 @@ def read_decisions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_contracts(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, CONTRACT, dict)
+    return _read(spark, root, CONTRACT, _contract)
 
 
 def read_intents(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, INTENT, dict)
+    return _read(spark, root, INTENT, _intent)
 
 
 def write_records(rows: DataFrame, root: str, key: str = "id") -> None:

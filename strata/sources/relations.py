@@ -17,13 +17,14 @@ def _rows(rows: list[str]) -> str:
 
 def node(d: Spark) -> str:
     return """select p_partkey as node_id, case p_partkey % 5 when 0 then 'module' when 1 then 'class' when 2 then 'function' when 3 then 'method' else 'endpoint' end as kind,
-      replace(p_name, ' ', '_') as name, p_brand || '.' || replace(p_name, ' ', '_') as qualified_name, 'src/' || p_brand || '/f' || (p_partkey % 40) || '.py' as file_path,
-      p_size as line_start, cast(p_size + p_partkey % 90 as int) as line_end, p_partkey % 10 = 7 as is_test, p_partkey % 17 = 0 as is_external, p_partkey % 23 = 0 as is_generated from $part"""
+      case when p_partkey % 10 = 0 then 'mod' || (p_partkey % 300) when p_partkey % 20 = 5 then 'test_mod' || ((p_partkey - 5) % 300) when p_partkey % 20 = 15 then 'mod' || ((p_partkey - 5) % 300) || '_spec' else replace(p_name, ' ', '_') end as name,
+      p_brand || '.' || replace(p_name, ' ', '_') as qualified_name, 'src/' || p_brand || '/f' || (p_partkey % 40) || '.py' as file_path,
+      p_size as line_start, cast(p_size + p_partkey % 90 as int) as line_end, p_partkey % 10 in (5, 7) as is_test, p_partkey % 17 = 0 as is_external, p_partkey % 23 = 0 as is_generated from $part"""
 
 
 def edge(d: Spark) -> str:
     return """select l_partkey as source_id, (l_partkey * 7 + l_suppkey * 13 + l_linenumber) % (select count(*) from $part) as target_id,
-      min(case l_returnflag when 'A' then 'imports' when 'N' then 'calls' else 'inherits' end) as kind, max(1 - l_discount) as confidence, min(l_linestatus) = 'O' as is_type_only
+      min(case when l_returnflag = 'A' then 'imports' when l_returnflag = 'N' then 'calls' when l_partkey % 3 = 0 then 'tests' else 'inherits' end) as kind, max(1 - l_discount) as confidence, min(l_linestatus) = 'O' as is_type_only
       from $lineitem where l_quantity <= 3 group by 1, 2"""
 
 

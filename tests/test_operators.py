@@ -34,3 +34,25 @@ def test_upsert_keeps_the_last(spark):
 
 def test_usable_budget():
     assert budget.usable(8000) == 7200 and budget.usable(10, reserved=20) == 0
+
+
+def test_places_of_a_distributed_sort(spark):
+    from pyspark.sql import functions as F
+
+    from strata.operators import ranking, usage
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), (F.col("id") % 3).alias("y")).repartition(7)
+    got = ranking.placed(rows, F.desc("y"), "x").collect()
+    want = sorted(((r.x, r.y) for r in got), key=lambda r: (-r[1], r[0]))
+    assert [(r.x, r.y) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(5000))
+    assert ranking.placed(rows.limit(0), "x").count() == 0
+    nodes = spark.createDataFrame([(f"f{i:02d}", False, False) for i in range(10) for _ in range(20 - i)] + [("t", True, False)], "file_path string, is_test boolean, is_generated boolean")
+    assert sorted((r.place, r.file_path) for r in usage.scenario_files(nodes).collect()) == [(0, "f00"), (3, "f03"), (6, "f06"), (9, "f09")]
+    assert usage.scenario_files(nodes.limit(0)).count() == 0
+
+
+def test_cycles_and_an_early_end(spark):
+    e = edges(spark, [(1, 2, "imports", False), (2, 3, "imports", False), (3, 1, "calls", False), (3, 4, "calls", False), (2, 1, "calls", False), (5, 1, "calls", False), (6, 6, "calls", False)])
+    assert [(r.cycle, r.size) for r in graph.cycles(e, 10, most=50).collect()] == [("1>2", 2), ("1>2>3", 3)]
+    assert graph.cycles(e, 10, most=1).count() == 1 and graph.cycles(e.limit(0)).count() == 0
+    assert graph.reach(starts(spark, 4), e, 9, forward=True).count() == 0 and graph.reach(starts(spark), e, 3).count() == 0

@@ -69,3 +69,44 @@ def test_usage_of_empty_and_odd_tables(spark):
     assert usage.daily(rows).select("day", "requests", "reduction_pct").collect() == [("2024-01-01", 1, 60.0)]
     assert usage.appended(rows.limit(1), rows).count() == 2 and usage.before_after(none).first().multiplier == 0.0
     assert usage.acceptance(spark.createDataFrame([], "ts timestamp, feedback string"), F.lit("2024-01-01").cast("timestamp")).first().overall == 0.0
+
+
+def test_builtin_contracts_and_packs(spark, tmp_path):
+    from strata.operators import contracts
+    from strata.sources import builtin, collect
+
+    own = {r.id: r for r in builtin.builtin_contracts(spark).collect()}
+    assert {k: (v.priority, len(v.rules)) for k, v in own.items()} == {"ai-guardrails": (500, 6), "architecture-basics": (400, 3)}
+    assert {r.id: len(r.rules) for r in builtin.rule_packs(spark).collect()} == {"fastapi-conventions": 10, "react-typescript": 11, "nodejs-express": 12}
+    f = spark.createDataFrame([("src/a.py", "import requests\nx = requests.get('u')\nh = UserService()\n"), ("src/tests/b.py", "time.sleep(1)\n"), ("src/c.py", "x\n" * 600 + "y = 1 # set it\n")], "file_path string, content string")
+    every = contracts.merged(builtin.builtin_contracts(spark), builtin.rule_packs(spark, "fastapi-conventions").withColumn("file_path", F.lit("f.yaml")))
+    got = {(r.file_path, r.rule_id) for r in contracts.violations(f, every).collect()}
+    assert got == {("src/a.py", "async-everywhere"), ("src/a.py", "use-depends"), ("src/c.py", "no-god-files"), ("src/c.py", "no-restating-comments")}
+    t = datetime.datetime(2024, 1, 1)
+    p = spark.createDataFrame([("p", "P", "/a", t, None)], collect.PROJECT)
+    collect.write_registry(p, f"{tmp_path}/r")
+    assert collect.read_registry(spark, f"{tmp_path}/r").collect() == p.collect() and collect.lookup(p, "project_id", "p").count() == 1
+    for name, text in (("a.py", "x"), ("b.go", "y"), ("c.txt", "z"), ("d.ts", "w" * 500_001)):
+        (tmp_path / "repo").mkdir(exist_ok=True)
+        (tmp_path / "repo" / name).write_text(text)
+    assert {r.file_path for r in collect.convention_files(spark, f"{tmp_path}/repo").collect()} == {"a.py"}
+    assert {(r.service, r.file_path) for r in collect.service_files(spark, f"{tmp_path}/repo", "s").collect()} == {("s", "a.py"), ("s", "b.go")}
+
+
+def test_records_name_known_kinds_alone(spark, tmp_path):
+    from strata.functions.dates import as_utc
+    from strata.sources import records
+
+    (tmp_path / "c.yaml").write_text("id: c\nrules: [{id: a, kind: AI-Antipattern, severity: ERROR}, {id: b, kind: odd}, text]\n")
+    c = records.read_contracts(spark, str(tmp_path)).first()
+    assert [(r.id, r.kind, r.severity) for r in c.rules] == [("a", "ai_antipattern", "error"), ("b", "pattern", "warning")] and c.priority == 100
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "i.yaml").write_text("id: i\nstatus: Strange\ncriteria: [look at it, {description: d, type: Grep-Match, check: x}]\n")
+    (tmp_path / "i" / "empty.yaml").write_text("")
+    i = records.read_intents(spark, f"{tmp_path}/i").collect()
+    assert len(i) == 1 and i[0].status == "active" and [(x.description, x.check_type, x.check_value) for x in i[0].criteria] == [("look at it", "manual", None), ("d", "grep_match", "x")]
+    records.write_records(spark.createDataFrame([("i", "T", [("d", True)])], "id string, title string, criteria array<struct<description:string,satisfied:boolean>>"), f"{tmp_path}/out")
+    assert records.read_intents(spark, f"{tmp_path}/out").first().criteria[0].satisfied
+    t = spark.createDataFrame([("2024-01-01",), ("2024-01-01T02:00:00",), ("2024-01-01T02:00:00+02:00",), ("soon",), (None,)], "t string")
+    hour = lambda h: datetime.datetime(2024, 1, 1, h)
+    assert [r[0] for r in t.select(as_utc(F.col("t"))).collect()] == [hour(0), hour(2), hour(0), None, None]
