@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut
+from strata.llm.common import cut, drop_cut
 from strata.llm.components import components
 from strata.llm.forest import groups, merge, neighbours
 from strata.llm.vectors import matrix, valid
@@ -316,7 +316,10 @@ def links(reps: DataFrame, dims: int, least: float, recall: float) -> DataFrame:
     rows = found.join(blocks, ["t", "k"], "left").join(coded.select("rep", "copies", "keys", "embedding"), "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)))
     rows = rows.select("t", "k", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "rep", "copies", "keys", "embedding")
-    return rows.repartition("t", "k", "lo", "hi").sortWithinPartitions("t", "k", "lo", "hi").mapInArrow(_verify(least), "a long, b long, n long")
+    out = cut(rows.repartition("t", "k", "lo", "hi").sortWithinPartitions("t", "k", "lo", "hi").mapInArrow(_verify(least), "a long, b long, n long"), "links")
+    drop_cut(coded)
+    drop_cut(found)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99) -> DataFrame:
@@ -336,7 +339,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     every = vectors.select(F.col("vec_id").cast("long"), *same)
     if found is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = cut(found, "links")
     near = found.filter("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
     roots = components(found.filter("b is not null")).withColumnRenamed("node", "rep")
     at = reps.join(near, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut
+from strata.llm.common import cut, drop_cut
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def candidates(indexed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     asked = indexed.sparkSession.createDataFrame(asked, "rule int, conj int, n int, gram string")  # as large as the rules are
     met = postings(indexed).join(F.broadcast(asked), "gram").groupBy("block", "rule", "conj", "n").agg(F.bitmap_and_agg("rows").alias("rows"), F.count("*").alias("k"))
     met = met.filter("k = n").groupBy("block", "rule").agg(F.bitmap_or_agg("rows").alias("rows"))
-    met = cut(met.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rows"))).alias("by")), "blocks")  # at most 4 KiB a rule
+    met = met.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rows"))).alias("by"))  # at most 4 KiB a rule
     at = F.bitmap_bit_position("id")
 
     def bit(i: int) -> Column:
@@ -229,7 +229,10 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     both = verified.unionByName(indexed.select("k1", "k2", "found")).filter(F.size("found") > 0)
     # a text may stand in many rows: the most spans are all those of one pass, and the passes are of different rules
     every = both.groupBy("k1", "k2").agg(F.collect_set("found").alias("f")).select("k1", "k2", F.array_sort(F.flatten("f")).alias("found"))
-    return cut(every, "spans")
+    out = cut(every, "spans")
+    drop_cut(indexed)
+    drop_cut(cand)
+    return out
 
 
 def _list(spans: Column) -> Column:
