@@ -5,9 +5,9 @@ posterior over domains (quality and toxicity of the label table, four in all). D
 so that the expected tokens of each domain, ``sum_d r_d n_d p_dk``, match their targets in least
 squares, by projected gradient steps from ``r = 1``: a step is one distributed sum a domain, and
 since it moves a rate by its posterior alone, rates stay an expression of the posterior and no
-table of rates is kept between steps. Misses are weighted by the inverse of the domains' Gram matrix:
-while no rate meets its bound one step is exact, and a rare domain is fitted as well as a common one.
-The matrix is of the rows whose rates can still move, unless such steps don't settle.
+table of rates is kept between steps. Misses count relative to each domain's target, so a rare domain is fitted as
+well as a common one. A step is first tried in the metric of the rows whose rates can still move (the inverse of their
+Gram matrix: exact while no rate meets its bound), and taken as a plain gradient step where that gains too little.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ SAMPLE = 8000
 BUCKETS = 16384
 #: standard deviations by which a class must differ in a bucket for it to count
 TELLING = 3.0
-#: steps that are tried in the metric of the rows that can still move
-BOLD = 16
+#: times that a step in the metric of the rows that can still move may lead uphill before no more are tried
+REFUSED = 3
 #: steps that lower the weighted square of the misses by less than this share have stalled
-STALL = 1e-3
+STALL = 2e-3
 LOG = logging.getLogger(__name__)
 
 
@@ -175,8 +175,8 @@ def rate(steps: list[np.ndarray], least: float = 0.0) -> Column:
 def fit_rates(rows: DataFrame, lifts: dict[str, float], least: float = 0.0, most: int = 60, near: float = 1e-3) -> list[np.ndarray]:
     """Projected gradient steps for ``rows(n_tokens, p_<domain>)``; targets are ``lifts`` times the tokens of a domain.
 
-    Steps end when no domain misses its own target by more than the share ``near``, when they stall, or
-    after ``most``; what is missed in the last two cases is logged.
+    Steps end when no domain misses its own target by more than the share ``near``, when they stall, or after
+    ``most`` passes over the rows; what is missed in the last two cases is logged. No step goes uphill.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens")
@@ -188,28 +188,39 @@ def fit_rates(rows: DataFrame, lifts: dict[str, float], least: float = 0.0, most
     if not has.sum() or not gram.any():
         return steps
     own = np.where(target > 0, target, np.where(has > 0, has, 1.0))
-    whole = _inverse(gram)
-    weight, now, was = whole, has, np.inf
-    best, bold = (np.inf, 0, has - target), True
+
+    def taken(tried: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' tokens after these steps, and the inverse Gram matrix of the rows that can still move."""
+        moves = F.when(F.col("_r") > least, n)  # rows at the bound don't answer to a step
+        grams = [F.sum(moves * p[i] * p[j]).alias(f"m{i}{j}") for i in range(len(p)) for j in range(i + 1)]
+        got = rows.withColumn("_r", rate(tried, least)).agg(*[F.sum(F.col("_r") * n * a).alias(f"t{i}") for i, a in enumerate(p)], *grams).first()
+        left = [[got[f"m{max(i, j)}{min(i, j)}"] or 0.0 for j in range(len(p))] for i in range(len(p))]
+        return np.array([got[f"t{i}"] for i in range(len(p))]), _inverse(np.array(left))
+
+    # a gradient step of the relative misses, over the gradient's Lipschitz constant: it never goes uphill
+    plain = np.diag(1 / own**2) / max(np.linalg.eigvalsh(gram / np.outer(own, own)).max(), 1e-300)
+    bold, now, refused, tries = _inverse(gram), has, 0, 0
     while True:
         miss = now - target
-        left, cost = np.abs(miss / own), float(miss @ whole @ miss)
-        if cost < best[0]:
-            best = (cost, len(steps), miss)
-        if left.max() <= near or len(steps) == most or (not bold and cost > (1 - STALL) * was):
+        left = np.abs(miss / own)
+        cost = float(left @ left)
+        if left.max() <= near or tries >= most:
             break
-        if bold and len(steps) >= BOLD:  # steps of the moving rows' metric don't settle: on from the best of them by sure ones
-            bold, weight, cost, miss = False, whole, best[0], best[2]
-            del steps[best[1] :]
-        was = cost
-        steps.append(weight @ miss)  # of length 1: so weighted, the gradient's Lipschitz constant is 1
-        r = rows.withColumn("_r", rate(steps, least))
-        moves = F.when(F.col("_r") > least, n)  # rows at the bound don't answer to a step
-        grams = [F.sum(moves * p[i] * p[j]).alias(f"m{i}{j}") for i in range(len(p)) for j in range(i + 1)] if bold else []
-        got = r.agg(*[F.sum(F.col("_r") * n * a).alias(f"t{i}") for i, a in enumerate(p)], *grams).first()
-        now = np.array([got[f"t{i}"] for i in range(len(p))])
-        if bold:
-            weight = _inverse(np.array([[got[f"m{max(i, j)}{min(i, j)}"] or 0.0 for j in range(len(p))] for i in range(len(p))]))
+        gain = -1.0
+        if refused < REFUSED:
+            tried = [*steps, bold @ miss]
+            then, metric = taken(tried)
+            gain, tries = cost - float((((then - target) / own) ** 2).sum()), tries + 1
+        if gain < cost / 4:
+            refused += gain < 0
+            sure = [*steps, plain @ miss]
+            then_, metric_ = taken(sure)
+            tries += 1
+            if (other := cost - float((((then_ - target) / own) ** 2).sum())) > gain:
+                tried, then, metric, gain = sure, then_, metric_, other
+        if gain < STALL * cost:
+            break
+        steps, now, bold = tried, then, metric
     if left.max() > near:
         LOG.warning("rates miss target tokens after %d steps: %s", len(steps), ", ".join(f"{d} by {100 * m:.2f} %" for d, m in zip(DOMAINS, left)))
     return steps
@@ -233,16 +244,17 @@ def mix(docs: DataFrame, labels: DataFrame, lifts: dict[str, float] = LIFTS, sam
     return rows.withColumn("rate", rate(steps))
 
 
-def resample(docs: DataFrame, labels: DataFrame, lifts: dict[str, float] = LIFTS, least: float = 0.0, sample: int = SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, lifts: dict[str, float] = LIFTS, least: float = 0.0, sample: int = SAMPLE, near: float = 0.02) -> DataFrame:
     """``docs`` with every row as often as its rate says: the whole part, and once more with the chance of the rest.
 
+    Rates are fitted to within ``near`` of each domain's target, less exact than whole rows are.
     The chance is a hash of id and text, so that a run can be repeated (and repeated rows fare alike). All
     columns stay, whatever their names; null texts and ids are rows like any other. An empty table gives an empty table.
     """
     # written with the posteriors as columns: as expressions they would be put into every step of the rate
     kept = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
     kept = cut(with_posteriors(kept, train(docs, labels, sample)).drop("text"), "posteriors")
-    steps = fit_rates(kept, lifts, least)
+    steps = fit_rates(kept, lifts, least, near=near)
     chance = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1 << 20)) / float(1 << 20)
     kept = kept.withColumn("_times", F.floor(rate(steps, least) + chance).cast("int")).filter("_times > 0")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
