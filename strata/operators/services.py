@@ -174,13 +174,14 @@ def resolve(calls: DataFrame, provided: DataFrame) -> DataFrame:
 
     A call meets the endpoints of other services that have as many parts and whose parts up to the first parameter are
     its own first parts: an equi join, after which the pattern is tried. The first endpoint by ``ord`` wins; calls without
-    one are left out.
+    one are left out. A path that a service offers in many files is one endpoint, so a call meets it once.
     """
     c = calls.withColumn("call_path", call_path(F.col("url"))).filter("call_path is not null")
     distinct = c.select("service", "call_path").distinct().withColumn("k", F.split(normal(F.col("call_path")), "/"))
     starts = F.transform(F.sequence(F.lit(0), F.size("k")), lambda n: F.array_join(F.slice("k", F.lit(1), n), "/"))
     distinct = distinct.select("service", "call_path", F.size("k").alias("parts"), F.explode(F.array_distinct(starts)).alias("lead"))
-    e = provided.select(F.col("service").alias("provider"), F.col("path").alias("endpoint"), "ord", as_pattern(F.col("path")).alias("pattern"), F.size(F.split(normal(F.col("path")), "/")).alias("parts"), F.regexp_replace(normal(F.col("path")), r"/?[^/]*[{<].*$", "").alias("lead"))
+    offered = provided.groupBy("service", "path").agg(F.min(F.struct("ord")).alias("first"))  # in a struct null comes first, as it does below
+    e = offered.select(F.col("service").alias("provider"), F.col("path").alias("endpoint"), "first.ord", as_pattern(F.col("path")).alias("pattern"), F.size(F.split(normal(F.col("path")), "/")).alias("parts"), F.regexp_replace(normal(F.col("path")), r"/?[^/]*[{<].*$", "").alias("lead"))
     met = distinct.join(e, ["parts", "lead"]).filter((F.col("service") != F.col("provider")) & F.regexp_like(normal(F.col("call_path")), F.col("pattern")))
     best = met.groupBy("service", "call_path").agg(F.min(F.struct("ord", "provider", "endpoint")).alias("e"))
     out = c.join(best, ["service", "call_path"])
