@@ -33,3 +33,11 @@ def test_a_call_meets_a_path_once_however_many_files_offer_it(spark):
     got = services.resolve(calls, offered)
     assert {(r.provider, r.endpoint) for r in got.collect()} == {("c", "/users/<id>")} and got.count() == 300
     assert rows_made(spark, services.resolve(calls, offered)) < 5000
+
+
+def test_impact_of_a_path_that_many_files_offer(spark):
+    calls = spark.range(300).selectExpr("concat('a', id % 2) as service", "concat('http://h/Users/', id) as url")
+    offered = spark.range(400).selectExpr("'b' as service", "case when id % 2 = 0 then '/users/{id}' else '/users/{id}/' end as path", "id as ord")
+    run = lambda: services.impact(offered, services.resolve(calls, offered))
+    assert [(r.service, r.endpoint, r.affected, r.services, r.risk) for r in run().collect()] == [("b", "/users/{id}", 300, ["a0", "a1"], "high")]
+    assert rows_made(spark, run()) < 5000
