@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.lineage import checkpointed
+
 # fixed values from here to the next comment: what the frameworks' routes, clients, settings and queues look like
 ROUTES = (
     # pattern, group of the method (0: none), group of the path
@@ -195,8 +197,9 @@ def is_critical(path: Column) -> Column:
 def service_map(services: DataFrame, provided: DataFrame, dependencies: DataFrame) -> DataFrame:
     """``(service, n_endpoints, depends_on, depended_on_by)``; the last two are sorted arrays of services."""
     n = provided.groupBy("service").agg(F.count("*").alias("n_endpoints"))
-    out = dependencies.groupBy("service").agg(F.array_sort(F.collect_set("provider")).alias("depends_on"))
-    into = dependencies.groupBy(F.col("provider").alias("service")).agg(F.array_sort(F.collect_set("service")).alias("depended_on_by"))
+    links = checkpointed(dependencies.select("service", "provider").distinct())  # a row a pair of services: what finds them runs once for both ends
+    out = links.groupBy("service").agg(F.array_sort(F.collect_set("provider")).alias("depends_on"))
+    into = links.groupBy(F.col("provider").alias("service")).agg(F.array_sort(F.collect_set("service")).alias("depended_on_by"))
     got = services.select("service").distinct().join(n, "service", "left").join(out, "service", "left").join(into, "service", "left")
     none = F.array().cast("array<string>")
     return got.select("service", F.coalesce("n_endpoints", F.lit(0)).alias("n_endpoints"), F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("depended_on_by", none).alias("depended_on_by"))

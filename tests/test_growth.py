@@ -41,3 +41,17 @@ def test_impact_of_a_path_that_many_files_offer(spark):
     run = lambda: services.impact(offered, services.resolve(calls, offered))
     assert [(r.service, r.endpoint, r.affected, r.services, r.risk) for r in run().collect()] == [("b", "/users/{id}", 300, ["a0", "a1"], "high")]
     assert rows_made(spark, run()) < 5000
+
+
+def test_service_map_finds_dependencies_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "b"), ("a", "b")], "service string, provider string").mapInArrow(counted, "service string, provider string")
+    m = services.service_map(spark.createDataFrame([("a",), ("b",)], "service string"), spark.createDataFrame([("b",)], "service string"), links)
+    assert {tuple(r.asDict().values()) for r in m.selectExpr("service", "n_endpoints", "array_join(depends_on, ',')", "array_join(depended_on_by, ',')").collect()} == {("a", 0, "b,c", ""), ("b", 1, "", "a,c")}
+    assert seen.value == 4
