@@ -49,12 +49,13 @@ def tests_of(own: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``own(..., node_id, kind, name)`` -> its other columns and the ``test_id`` of each node's tests.
 
     Tests are what a ``tests`` edge leads from, and for a module the test modules named ``test_x``, ``x_test`` and ``x_spec``.
+    Modules that share a name ask for its tests once.
     """
     rest = [c for c in own.columns if c not in ("node_id", "kind", "name")]
     told = own.join(edges.filter("kind = 'tests'").select(F.col("target_id").alias("node_id"), F.col("source_id").alias("test_id")), "node_id").select(*rest, "test_id")
     names = F.explode(F.array(F.concat(F.lit("test_"), "name"), F.concat("name", F.lit("_test")), F.concat("name", F.lit("_spec")))).alias("name")
     called = nodes.filter("kind = 'module' and is_test").select("name", F.col("node_id").alias("test_id"))
-    named = own.filter("kind = 'module'").select(*rest, names).join(called, "name").select(*rest, "test_id")
+    named = own.filter("kind = 'module'").select(*rest, names).distinct().join(called, "name").select(*rest, "test_id")
     return told.unionByName(named).distinct()
 
 

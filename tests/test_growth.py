@@ -6,7 +6,7 @@ import duckdb
 from compare import connect, difference
 
 from strata import catalogue
-from strata.operators import services
+from strata.operators import graph, services
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +69,13 @@ def test_upserts_of_ids_that_are_taken(spark, tmp_path):
         con.execute(f"copy (select * replace ({key} + n * 1000000 as {key}) from '{SF}/{table}.parquet', range(3) r(n)) to '{tmp_path}/{table}.parquet' (format parquet)")
     for name in ("node_upsert_latest", "session_upsert"):
         assert difference(spark, connect(tmp_path), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], str(tmp_path)) == ""
+
+
+def test_modules_of_one_name_ask_for_its_tests_once(spark):
+    nodes = spark.range(400).selectExpr("id as node_id", "'module' as kind", "case when id % 2 = 0 then 'm' else 'test_m' end as name", "id % 2 = 1 as is_test")
+    edges = spark.createDataFrame([(7, 8, "tests"), (5, 6, "calls")], "source_id long, target_id long, kind string")
+    own = nodes.filter("not is_test").select("node_id", "kind", "name")
+    assert sorted(r.test_id for r in graph.tests_of(own, nodes, edges).collect()) == list(range(1, 400, 2))
+    asked = own.selectExpr("node_id % 4 as request", "node_id", "kind", "name")
+    assert {tuple(r) for r in graph.tests_of(asked, nodes, edges).groupBy("request").count().collect()} == {(0, 200), (2, 200)}
+    assert rows_made(spark, graph.tests_of(own, nodes, edges)) < 5000
