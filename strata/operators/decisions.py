@@ -6,9 +6,16 @@ Frames: ``decisions(id, status, supersedes, review_by, created_at, tags, code_an
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.lineage import checkpointed
 from strata.operators.ranking import placed
 
 #: fixed values: statuses that a search leaves out
@@ -24,6 +31,8 @@ KEYWORDS = (
 NOISE = (r"^merge\s", r"^wip\b", r"^fix\s*(typo|lint|format|style)", r"^chore\s*:", r"^bump\s+version", r"^update\s+lock", r"^auto-generated")
 #: fixed values: words that make a commit's decision likelier
 STRONG, REASON = ("adr", "architecture decision", "design decision"), ("because", "reason:", "rationale:")
+#: anchors that a task holds when overlaps are looked for, shares that pass them, rows of a batch that is given, and bounds of line numbers
+HELD, SHARES, GIVEN, FIRST, LAST = 2_000_000, 32, 20_000, -(2**63), 2**63 - 1
 
 
 def is_open(status: Column) -> Column:
@@ -80,20 +89,133 @@ def by_tags(decisions: DataFrame, tags: list[str]) -> DataFrame:
 
 
 def conflicts(decisions: DataFrame) -> DataFrame:
-    """Of active decisions: ``(kind, a_id, b_id, file_path)``.
+    """Of active decisions: ``(kind, a_id, b_id, file_path)``: what :func:`superseded` and :func:`overlaps` give."""
+    old, both = superseded(decisions), overlaps(decisions)
+    return old.select(F.lit("superseded").alias("kind"), "a_id", "b_id", F.lit(None).cast("string").alias("file_path")).unionByName(both.select(F.lit("overlap").alias("kind"), "a_id", "b_id", "file_path"))
 
-    ``superseded``: one that names another, active too, as superseded (the first by id names it). ``overlap``: two whose
-    anchors share lines of a file, or either is for the whole file; the first file of a pair only.
-    """
+
+def superseded(decisions: DataFrame) -> DataFrame:
+    """Active decisions that another, active too, names as superseded: ``(a_id, b_id)``, the first by id that names it and it."""
     live = decisions.filter("status = 'active'")
     old = live.filter("supersedes is not null").select(F.col("id").alias("a_id"), F.col("supersedes").alias("b_id"))
-    old = old.join(live.select(F.col("id").alias("b_id")), "b_id", "left_semi").groupBy("b_id").agg(F.min("a_id").alias("a_id"))
-    a = anchors(live)
-    x, y = a.alias("x"), a.alias("y")
-    whole = F.col("x.line_start").isNull() | F.col("y.line_start").isNull()
-    meet = (F.col("x.file_path") == F.col("y.file_path")) & (F.col("x.id") < F.col("y.id")) & (whole | ((F.col("x.line_start") <= F.col("y.line_end")) & (F.col("y.line_start") <= F.col("x.line_end"))))
-    both = x.join(y, meet).groupBy(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id")).agg(F.min_by(F.col("x.file_path"), F.struct("x.place", "y.place")).alias("file_path"))
-    return old.select(F.lit("superseded").alias("kind"), "a_id", "b_id", F.lit(None).cast("string").alias("file_path")).unionByName(both.select(F.lit("overlap").alias("kind"), "a_id", "b_id", "file_path"))
+    return old.join(live.select(F.col("id").alias("b_id")), "b_id", "left_semi").groupBy("b_id").agg(F.min("a_id").alias("a_id")).select("a_id", "b_id")
+
+
+def overlaps(decisions: DataFrame) -> DataFrame:
+    """Active decisions whose anchors share lines of a file, or either is for the whole file: ``(a_id, b_id, file_path)``.
+
+    A pair is given once, the smaller id first, with the file of the first anchor of ``a_id`` that meets one of the other.
+    Decisions are dealt twice: into blocks of some ``HELD`` anchors, one of which a task holds, and into ``SHARES``, one of
+    which streams past a block. All anchors of a pair meet in one task, so pairs are not shuffled: decisions are, once for
+    each share and each block. The pairs themselves may grow with the square of the decisions that a file has.
+    """
+    each = lambda name, kind: F.transform("code_anchors", lambda a: a[name].cast(kind))
+    live = decisions.filter("status = 'active' and id is not null and size(code_anchors) > 0")
+    live = checkpointed(live.select("id", each("file_path", "string").alias("paths"), each("line_start", "long").alias("starts"), each("line_end", "long").alias("ends")))
+    blocks = (live.agg(F.sum(F.size("paths"))).first()[0] or 0) // HELD + 1
+    held = live.select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    past = live.select("*", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARES)).cast("int").alias("share"), F.lit(1).alias("side")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = held.unionByName(past).withColumn("cell", F.col("share") * blocks + F.col("block")).repartitionById(SHARES * blocks, "cell").sortWithinPartitions("cell", "side", "id")
+    return dealt.select("cell", "side", "id", "paths", "starts", "ends").mapInArrow(_meeting(), "a_id string, b_id string, file_path string")
+
+
+def _meeting():
+    """What a task does with its cells; made here, so that workers get it with its parts and import nothing of this package."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each cell the decisions that are held come first, then those that pass, by id."""
+        cell, held, block = None, [], None
+        for b in batches:
+            key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if key[lo] // 2 != cell:
+                    if block:
+                        yield from block.rest()
+                    cell, held, block = key[lo] // 2, [], None
+                if key[lo] % 2 == 0:
+                    held.append(b.slice(lo, hi - lo))
+                else:
+                    block = block or Block(held)
+                    held = []
+                    yield from block.met(b.slice(lo, hi - lo))
+        if block:
+            yield from block.rest()
+
+    def spans(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Anchors a decision, and of each anchor its path, first and last line; whole files reach over all lines, no last line meets those alone."""
+        whole = b.column(4).flatten().is_null().to_numpy(zero_copy_only=False)
+        first = b.column(4).flatten().fill_null(FIRST).to_numpy()
+        last = np.where(whole, LAST, b.column(5).flatten().fill_null(FIRST).to_numpy())
+        return b.column(3).value_lengths().to_numpy(), b.column(3).flatten(), first, last
+
+    class Block:
+        """Anchors of the decisions that a task holds, by file and then by id."""
+
+        def __init__(self, held: list[pa.RecordBatch]):
+            parts = [spans(b) for b in held]
+            ids = [i for b in held for i in b.column(2).to_pylist()]
+            self.ids = sorted(set(ids))
+            rank = {x: i for i, x in enumerate(self.ids)}
+            rank = np.repeat(np.array([rank[x] for x in ids], np.int32), np.concatenate([s[0] for s in parts]) if parts else 0)
+            paths = pa.concat_arrays([s[1] for s in parts]).dictionary_encode() if parts else pa.array([], pa.string()).dictionary_encode()
+            self.files, file = paths.dictionary, paths.indices.fill_null(-1).to_numpy()
+            order = np.lexsort((rank, file))
+            order = order[np.searchsorted(file[order], 0) :]
+            self.rank, self.first, self.last = rank[order], *(np.concatenate([s[k] for s in parts])[order] if parts else np.array([], np.int64) for k in (2, 3))
+            self.at = np.searchsorted(file[order], np.arange(len(self.files) + 1)).tolist()
+            self.named = pa.array(self.ids, pa.string())
+            self.best = np.full(len(self.ids), -1, np.int32)
+            self.now, self.rows = None, []
+            self.out, self.n = [], 0
+
+        def met(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            n, paths, first, last = spans(b)
+            file = pc.index_in(paths, value_set=self.files, skip_nulls=True).fill_null(-1).to_numpy()
+            ends = np.cumsum(n).tolist()
+            for i, lo, hi in zip(b.column(2).to_pylist(), [0, *ends], ends):
+                if i != self.now:
+                    yield from self.settle()
+                    self.now, self.rows = i, []
+                self.rows.append((np.arange(hi - lo), file[lo:hi], first[lo:hi], last[lo:hi]))
+
+        def settle(self) -> Iterator[pa.RecordBatch]:
+            """The pairs of the decision that has passed; of its anchors the first one counts, so it comes last."""
+            if self.now is None:
+                return
+            place, file, first, last = (np.concatenate(x) for x in zip(*self.rows))
+            back = np.argsort(place, kind="stable")[::-1]
+            after = bisect_right(self.ids, self.now)
+            for f, x, y in zip(file[back].tolist(), first[back].tolist(), last[back].tolist()):
+                if f >= 0:
+                    lo, hi = self.at[f], self.at[f + 1]
+                    lo += int(self.rank[lo:hi].searchsorted(after))
+                    meet = (self.first[lo:hi] <= y) & (self.last[lo:hi] >= x)
+                    self.best[self.rank[lo:hi][meet]] = f
+            hits = np.flatnonzero(self.best[after:] >= 0) + after
+            if len(hits):
+                self.out.append((self.now, hits, self.best[hits]))
+                self.best[hits] = -1
+                self.n += len(hits)
+            if self.n >= GIVEN:
+                yield from self.given()
+
+        def given(self) -> Iterator[pa.RecordBatch]:
+            if self.out:
+                a = pa.array([x[0] for x in self.out], pa.string()).take(pa.array(np.repeat(np.arange(len(self.out)), [len(x[1]) for x in self.out])))
+                b, f = (np.concatenate([x[k] for x in self.out]) for k in (1, 2))
+                for lo in range(0, self.n, GIVEN):
+                    cut = slice(lo, lo + GIVEN)
+                    yield pa.RecordBatch.from_arrays([a[cut], self.named.take(pa.array(b[cut])), self.files.take(pa.array(f[cut])).cast(pa.string())], ["a_id", "b_id", "file_path"])
+                self.out, self.n = [], 0
+
+        def rest(self) -> Iterator[pa.RecordBatch]:
+            yield from self.settle()
+            yield from self.given()
+
+    return met
 
 
 def next_id(records: DataFrame, prefix: str = "DEC") -> DataFrame:

@@ -157,12 +157,12 @@ def decisions_by_tag(spark, d):
 
 
 def anchor_overlap(spark, d):
-    return decisions.conflicts(_journal(spark, d)).filter("kind = 'overlap'").drop("kind")
+    return decisions.overlaps(_journal(spark, d))
 
 
 def supersede_conflicts(spark, d):
     j = _journal(spark, d).withColumn("status", F.when(F.col("num") % 5 < 4, "active").otherwise(F.col("status")))
-    return decisions.conflicts(j).filter("kind = 'superseded'").select(F.col("a_id").alias("newer"), F.col("b_id").alias("older"))
+    return decisions.superseded(j).select(F.col("a_id").alias("newer"), F.col("b_id").alias("older"))
 
 
 def next_decision_id(spark, d):

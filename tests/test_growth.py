@@ -1,12 +1,13 @@
 """Steps whose rows must grow with the input and not with its square, and queries on keys that the small tables lack."""
 
+import random
 from contextlib import contextmanager
 
 import duckdb
 from compare import connect, difference
 
 from strata import catalogue
-from strata.operators import graph, services
+from strata.operators import decisions, graph, services
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,11 +22,11 @@ def fixed_plans(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-def rows_made(spark, df) -> int:
-    """The most rows that a node of the plan gave when ``df`` was collected."""
+def rows_made(spark, df, metric: str = "numOutputRows") -> int:
+    """The most rows that a node of the plan gave when ``df`` was collected; with another metric the most of that."""
 
     def most(node) -> int:
-        own, below = node.metrics().get("numOutputRows"), node.children()
+        own, below = node.metrics().get(metric), node.children()
         return max([own.get().value() if own.isDefined() else 0, *(most(below.apply(i)) for i in range(below.size()))])
 
     with fixed_plans(spark):
@@ -79,3 +80,40 @@ def test_modules_of_one_name_ask_for_its_tests_once(spark):
     asked = own.selectExpr("node_id % 4 as request", "node_id", "kind", "name")
     assert {tuple(r) for r in graph.tests_of(asked, nodes, edges).groupBy("request").count().collect()} == {(0, 200), (2, 200)}
     assert rows_made(spark, graph.tests_of(own, nodes, edges)) < 5000
+
+
+KINDS = "id string, status string, code_anchors array<struct<file_path:string,line_start:bigint,line_end:bigint>>"
+
+
+def test_overlaps_of_odd_anchors_in_several_blocks(spark, monkeypatch):
+    r = random.Random(5)
+
+    def anchor():
+        start = r.choice([None, *range(60)])
+        end = None if r.random() < 0.2 else r.randrange(80) if start is None else start + r.randrange(-2, 9)
+        return (r.choice(["a", "b", "c", None, "d/é", ""]), start, end)
+
+    rows = [(f"D{i:03d}" if i else "Ü", "active", [anchor() for _ in range(r.randrange(9))]) for i in range(90)]
+    rows += [("D003", "active", [anchor(), anchor()]), (None, "active", [("a", None, None)]), ("X", "active", None), ("Y", "draft", [("a", None, None)]), ("Z", None, [("a", None, None)])]
+    met = lambda x, y: x[0] is not None and x[0] == y[0] and (x[1] is None or y[1] is None or (None not in (x[2], y[2]) and x[1] <= y[2] and y[1] <= x[2]))
+    want = {}
+    for i, s, xs in rows:
+        for j, t, ys in rows:
+            if s == t == "active" and i is not None and j is not None and i < j:
+                for n, x in enumerate(xs or ()):
+                    if any(met(x, y) for y in ys or ()):
+                        want.setdefault((i, j), {}).setdefault(n, set()).add(x[0])
+    live = spark.createDataFrame(rows, KINDS)
+    for held in (decisions.HELD, 50):
+        monkeypatch.setattr(decisions, "HELD", held)
+        got = [tuple(x) for x in decisions.overlaps(live).collect()]
+        assert len(got) == len(set(x[:2] for x in got)) == len(want) > 200
+        assert all(f in want[a, b][min(want[a, b])] for a, b, f in got)
+    assert decisions.overlaps(live.limit(0)).count() == 0
+
+
+def test_overlaps_shuffle_decisions_and_not_their_pairs(spark):
+    kinds = KINDS.replace("line_end:bigint", "line_end:bigint,content_hash:string") + ", supersedes string"
+    live = spark.createDataFrame([(f"D{i:03d}", "active", [("f", None, None, None)], None) for i in range(300)], kinds)
+    got = decisions.conflicts(live).filter("kind = 'overlap'")
+    assert rows_made(spark, got, "shuffleRecordsWritten") <= 300 * (decisions.SHARES + 1) and got.count() == 300 * 299 // 2
