@@ -5,59 +5,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.lineage import checkpointed
 
 # fixed values from here to the next comment: what the frameworks' routes, clients, settings and queues look like
+VERBS, LOW, TITLE, UPPER = "get post put patch delete", ".get .post .put .patch .delete", ".Get .Post .Put .Patch .Delete", ".GET .POST .PUT .PATCH .DELETE"
 ROUTES = (
-    # pattern, group of the method (0: none), group of the path
-    (r"""@(?:app|router|api_router)\.(get|post|put|patch|delete|options|head)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""@(?:app|bp|blueprint)\.route\s*\(\s*["']([^"']+)["'](?:.*methods\s*=\s*\[([^\]]+)\])?""", 0, 1),
-    (r"""@(?:api_view|action)\s*\(\s*\[([^\]]+)\]\s*\)""", 0, 1),
-    (r"""\(\s*r?["'](/api/[^"']+)["'].*(?:Handler|View)""", 0, 1),
-    (r"""(?:app|router|server)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""@(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""export\s+(?:default\s+)?(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b""", 0, 1),
-    (r"""(?:http|mux|r|router)\.(?:HandleFunc|Handle|Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 0, 1),
-    (r"""(?:r|router|group|v1|v2|api)\.(GET|POST|PUT|PATCH|DELETE)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""(?:e|echo|g|group)\.(GET|POST|PUT|PATCH|DELETE)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""(?:app|group|api)\.(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""@(GetMapping|PostMapping|PutMapping|PatchMapping|DeleteMapping)\s*\(\s*(?:value\s*=\s*)?["']([^"']+)["']""", 1, 2),
-    (r"""@RequestMapping\s*\(\s*(?:value\s*=\s*)?["']([^"']+)["'](?:.*method\s*=\s*RequestMethod\.(\w+))?""", 0, 1),
-    (r"""@Path\s*\(\s*["']([^"']+)["']""", 0, 1),
-    (r"""#\[(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""(?:get|post|put|patch|delete)\s+["'](/[^"']+)["']""", 0, 1),
-    (r"""resources?\s+:(\w+)""", 0, 1),
-    (r"""Route::(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""#\[Route\s*\(\s*["']([^"']+)["'](?:.*methods:\s*\[([^\]]+)\])?""", 0, 1),
-    (r"""\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""\[Route\s*\(\s*["']([^"']+)["']""", 0, 1),
-    (r"""(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""(?:app|grouped)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2),
-    (r"""(get|post|put|patch|delete)\s+["']([^"']+)["']""", 1, 2),
+    # pattern, group of the method (0: none), group of the path, parts of a line one of which every match holds
+    (r"""@(?:app|router|api_router)\.(get|post|put|patch|delete|options|head)\s*\(\s*["']([^"']+)["']""", 1, 2, "@"),
+    (r"""@(?:app|bp|blueprint)\.route\s*\(\s*["']([^"']+)["'](?:.*methods\s*=\s*\[([^\]]+)\])?""", 0, 1, ".route"),
+    (r"""@(?:api_view|action)\s*\(\s*\[([^\]]+)\]\s*\)""", 0, 1, "@"),
+    (r"""\(\s*r?["'](/api/[^"']+)["'].*(?:Handler|View)""", 0, 1, "/api/"),
+    (r"""(?:app|router|server)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2, LOW),
+    (r"""@(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 1, 2, "@"),
+    (r"""export\s+(?:default\s+)?(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b""", 0, 1, "export"),
+    (r"""(?:http|mux|r|router)\.(?:HandleFunc|Handle|Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 0, 1, ".Handle " + TITLE),
+    (r"""(?:r|router|group|v1|v2|api)\.(GET|POST|PUT|PATCH|DELETE)\s*\(\s*["']([^"']+)["']""", 1, 2, UPPER),
+    (r"""(?:e|echo|g|group)\.(GET|POST|PUT|PATCH|DELETE)\s*\(\s*["']([^"']+)["']""", 1, 2, UPPER),
+    (r"""(?:app|group|api)\.(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 1, 2, TITLE),
+    (r"""@(GetMapping|PostMapping|PutMapping|PatchMapping|DeleteMapping)\s*\(\s*(?:value\s*=\s*)?["']([^"']+)["']""", 1, 2, "Mapping"),
+    (r"""@RequestMapping\s*\(\s*(?:value\s*=\s*)?["']([^"']+)["'](?:.*method\s*=\s*RequestMethod\.(\w+))?""", 0, 1, "@RequestMapping"),
+    (r"""@Path\s*\(\s*["']([^"']+)["']""", 0, 1, "@Path"),
+    (r"""#\[(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2, "#["),
+    (r"""\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2, LOW),
+    (r"""(?:get|post|put|patch|delete)\s+["'](/[^"']+)["']""", 0, 1, '"/ \'/'),
+    (r"""resources?\s+:(\w+)""", 0, 1, "resource"),
+    (r"""Route::(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2, "Route::"),
+    (r"""#\[Route\s*\(\s*["']([^"']+)["'](?:.*methods:\s*\[([^\]]+)\])?""", 0, 1, "#[Route"),
+    (r"""\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*["']([^"']+)["']""", 1, 2, "[Http"),
+    (r"""\[Route\s*\(\s*["']([^"']+)["']""", 0, 1, "[Route"),
+    (r"""(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2, VERBS),
+    (r"""(?:app|grouped)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']+)["']""", 1, 2, LOW),
+    (r"""(get|post|put|patch|delete)\s+["']([^"']+)["']""", 1, 2, VERBS),
 )
 CALLS = (
-    # pattern, group of the method (0: none), groups that may hold the URL, group of a variable (0: none)
-    (r"""(?:httpx|client|async_client)\.(get|post|put|patch|delete)\s*\(\s*(?:f?["']([^"']*)["']|(\w+))""", 1, (2,), 3),
-    (r"""requests\.(get|post|put|patch|delete)\s*\(\s*(?:f?["']([^"']*)["']|(\w+))""", 1, (2,), 3),
-    (r"""session\.(get|post|put|patch|delete)\s*\(\s*(?:f?["']([^"']*)["']|(\w+))""", 1, (2,), 3),
-    (r"""fetch\s*\(\s*(?:`([^`]*)`|["']([^"']*)["'])""", 0, (1, 2), 0),
-    (r"""axios\.(get|post|put|patch|delete)\s*\(\s*(?:`([^`]*)`|["']([^"']*)["'])""", 1, (2, 3), 0),
-    (r"""(?:\$http|http)\.(get|post|put|patch|delete)\s*\(\s*(?:`([^`]*)`|["']([^"']*)["'])""", 1, (2, 3), 0),
-    (r"""http\.(Get|Post|Put|NewRequest)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""(?:client|c|resty)\.(Get|Post|Put|Patch|Delete|R)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""(?:HttpRequest|RestTemplate|WebClient|Feign)\.\w+\s*\(\s*["']([^"']*)["']""", 0, (1,), 0),
-    (r"""\.uri\s*\(\s*["']([^"']*)["']""", 0, (1,), 0),
-    (r"""(?:reqwest|client)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""Client::new\(\).*\.(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""(?:Net::HTTP|HTTParty|Faraday|RestClient)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""(?:Http|Guzzle|client)->(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""file_get_contents\s*\(\s*["']([^"']*)["']""", 0, (1,), 0),
-    (r"""(?:HttpClient|client)\.(Get|Post|Put|Patch|Delete)Async\s*\(\s*["']([^"']*)["']""", 1, (2,), 0),
-    (r"""(?:url|endpoint|base_url|service_url|apiUrl|baseURL)\s*(?:\+|=|:)\s*(?:f?["']([^"']*(?:api|/v\d)[^"']*)["'])""", 0, (1,), 0),
+    # pattern, group of the method (0: none), groups that may hold the URL, group of a variable (0: none), parts of a line one of which every match holds
+    (r"""(?:httpx|client|async_client)\.(get|post|put|patch|delete)\s*\(\s*(?:f?["']([^"']*)["']|(\w+))""", 1, (2,), 3, "httpx. client."),
+    (r"""requests\.(get|post|put|patch|delete)\s*\(\s*(?:f?["']([^"']*)["']|(\w+))""", 1, (2,), 3, "requests."),
+    (r"""session\.(get|post|put|patch|delete)\s*\(\s*(?:f?["']([^"']*)["']|(\w+))""", 1, (2,), 3, "session."),
+    (r"""fetch\s*\(\s*(?:`([^`]*)`|["']([^"']*)["'])""", 0, (1, 2), 0, "fetch"),
+    (r"""axios\.(get|post|put|patch|delete)\s*\(\s*(?:`([^`]*)`|["']([^"']*)["'])""", 1, (2, 3), 0, "axios."),
+    (r"""(?:\$http|http)\.(get|post|put|patch|delete)\s*\(\s*(?:`([^`]*)`|["']([^"']*)["'])""", 1, (2, 3), 0, "http."),
+    (r"""http\.(Get|Post|Put|NewRequest)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, "http."),
+    (r"""(?:client|c|resty)\.(Get|Post|Put|Patch|Delete|R)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, TITLE + " .R"),
+    (r"""(?:HttpRequest|RestTemplate|WebClient|Feign)\.\w+\s*\(\s*["']([^"']*)["']""", 0, (1,), 0, "HttpRequest. RestTemplate. WebClient. Feign."),
+    (r"""\.uri\s*\(\s*["']([^"']*)["']""", 0, (1,), 0, ".uri"),
+    (r"""(?:reqwest|client)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, "reqwest. client."),
+    (r"""Client::new\(\).*\.(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, "Client::new()"),
+    (r"""(?:Net::HTTP|HTTParty|Faraday|RestClient)\.(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, "Net::HTTP. HTTParty. Faraday. RestClient."),
+    (r"""(?:Http|Guzzle|client)->(get|post|put|patch|delete)\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, "->"),
+    (r"""file_get_contents\s*\(\s*["']([^"']*)["']""", 0, (1,), 0, "file_get_contents"),
+    (r"""(?:HttpClient|client)\.(Get|Post|Put|Patch|Delete)Async\s*\(\s*["']([^"']*)["']""", 1, (2,), 0, "Async"),
+    (r"""(?:url|endpoint|base_url|service_url|apiUrl|baseURL)\s*(?:\+|=|:)\s*(?:f?["']([^"']*(?:api|/v\d)[^"']*)["'])""", 0, (1,), 0, "url Url URL endpoint"),
 )
 VARIABLES = (
     r"""(\w+(?:SERVICE|API|BACKEND)_(?:URL|HOST|BASE_URL|ENDPOINT))\b""",
@@ -87,6 +91,8 @@ EVENTS = (
     (r"""\.(?:Publish|Subscribe|Request)\s*\(\s*["']([^"']+)["']""", "consumes"),
     (r"""(?:nats|nc)\.(Publish|Subscribe)\s*\(\s*["']([^"']+)["']""", "consumes"),
 )
+# one of these, too, is in every line that a pattern above matches
+ROUTE_MARKS, CALL_MARKS = ('"', "'", "[", "export", "resource"), ("(", '"', "'")
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD")
 CRITICAL = ("auth", "login", "token", "payment", "billing", "checkout", "order", "session", "verify")
 # end of fixed values
@@ -94,12 +100,38 @@ CRITICAL = ("auth", "login", "token", "payment", "billing", "checkout", "order",
 AHEAD = 5
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select("service", "file_path", F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("lines")).select("service", "file_path", "lines", F.posexplode("lines").alias("i", "line"))
+def _lines(files: DataFrame, patterns: tuple, marks: tuple[str, ...]) -> DataFrame:
+    """Lines that may match, each with the lines from it on: those with a mark and a part that some pattern needs, as to look for
+    these takes far less than to try the patterns.
+
+    The outer form is for the planner: of the inner one it makes a filter that splits every text once more.
+    """
+    needs = {x for p in patterns for x in p[-1].split()}
+    least = sorted(x for x in needs if not any(y in x for y in needs - {x}))
+    each = files.select("service", "file_path", F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("lines")).select("service", "file_path", "lines", F.posexplode_outer("lines").alias("i", "line"))
+    likely = each.filter(_any_in(marks) & _any_in(least))
+    return likely.select("service", "file_path", (F.col("i") + 1).alias("no"), "line", F.slice("lines", F.col("i") + 1, AHEAD).alias("near"))
+
+
+def _any_in(parts: Iterable[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains("line", F.lit(p)) for p in parts])
+
+
+def _tried(pattern: str, needs: str, hit: Column) -> Column:
+    return F.when(_any_in(needs.split()) & F.col("line").rlike(pattern), hit)
+
+
+def _hits(rows: DataFrame, hits: list[Column], kind: str) -> DataFrame:
+    """``rows`` with ``h``, a row a hit, of type ``kind``.
+
+    Outer, or the planner tries all patterns once in a filter and once more behind it; cast, or the array's type is worked out
+    from its parts again for every row.
+    """
+    return rows.withColumn("h", F.explode_outer(F.array_compact(F.array(*hits).cast(f"array<struct<{kind}>>")))).filter("h is not null")
 
 
 def _part(pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
+    return F.regexp_extract("line", pattern, group) if group else F.lit("")
 
 
 def _method(x: Column) -> Column:
@@ -112,29 +144,21 @@ def endpoints(files: DataFrame) -> DataFrame:
 
     The function is the first ``def`` in the route's line and the four after it.
     """
-    hits = [F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("pattern"), (_method(_part(p, m)) if m else F.lit("ANY")).alias("method"), _part(p, g).alias("path"))) for i, (p, m, g) in enumerate(ROUTES)]
-    rows = _lines(files).withColumn("hit", F.filter(F.array(*hits), lambda h: h.isNotNull() & h["path"].isNotNull())).filter(F.size("hit") > 0)
-    names = F.transform(F.slice("lines", F.col("i") + 1, AHEAD), lambda x: F.regexp_extract(x, r"(?:async\s+)?def\s+(\w+)", 1))
+    hits = [_tried(p, n, F.struct(F.lit(i).alias("pattern"), _part(p, m).alias("method"), _part(p, g).alias("path"))) for i, (p, m, g, n) in enumerate(ROUTES)]
+    rows = _hits(_lines(files, ROUTES, ROUTE_MARKS), hits, "pattern:int,method:string,path:string").filter("h.path <> ''")
+    names = F.transform("near", lambda x: F.regexp_extract(x, r"(?:async\s+)?def\s+(\w+)", 1))
     name = F.coalesce(F.get(F.filter(names, lambda x: x != ""), F.lit(0)), F.lit(""))
-    return rows.withColumn("function", name).select("service", "file_path", (F.col("i") + 1).alias("line"), "function", F.explode("hit").alias("h")).select("service", "file_path", "line", "h.method", "h.path", "function", "h.pattern")
+    return rows.select("service", "file_path", F.col("no").alias("line"), _method(F.col("h.method")).alias("method"), "h.path", name.alias("function"), "h.pattern")
 
 
 def outbound_calls(files: DataFrame) -> DataFrame:
     """``(service, file_path, line, method, url, variable, raw)``: a row a line and pattern; one with neither URL nor variable is left out."""
-
-    def url(p: str, groups: tuple[int, ...]) -> Column:
-        each = [_part(p, g) for g in groups]
-        return F.coalesce(*[F.when(x.contains("/") | F.lower(x).contains("http") | x.contains("{"), x) for x in each])
-
-    def variable(p: str, groups: tuple[int, ...], own: int) -> Column:
-        each = [_part(p, g) for g in (*groups, *([own] if own else []))]
-        return F.coalesce(*[F.when(x.rlike(r"^[A-Za-z_]\w*$"), x) for x in each])
-
-    made = lambda p, m: F.coalesce(_method(_part(p, m)), F.lit("ANY")) if m else F.lit("ANY")
-    hits = [F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("pattern"), made(p, m).alias("method"), url(p, g).alias("url"), variable(p, g, v).alias("variable"))) for i, (p, m, g, v) in enumerate(CALLS)]
-    rows = _lines(files).withColumn("hit", F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["url"].isNotNull() | h["variable"].isNotNull()))).filter(F.size("hit") > 0)
-    raw = F.substring(F.trim("line"), 1, 200)
-    return rows.select("service", "file_path", (F.col("i") + 1).alias("line"), raw.alias("raw"), F.explode("hit").alias("h")).select("service", "file_path", "line", "h.method", "h.url", "h.variable", "raw", "h.pattern")
+    hits = [_tried(p, n, F.struct(F.lit(i).alias("pattern"), _part(p, m).alias("method"), F.array(*[_part(p, x) for x in g]).alias("urls"), _part(p, v).alias("own"))) for i, (p, m, g, v, n) in enumerate(CALLS)]
+    rows = _hits(_lines(files, CALLS, CALL_MARKS), hits, "pattern:int,method:string,urls:array<string>,own:string")
+    url = F.get(F.filter("h.urls", lambda x: x.contains("/") | F.lower(x).contains("http") | x.contains("{")), F.lit(0))
+    variable = F.get(F.filter(F.array_append("h.urls", F.col("h.own")), lambda x: x.rlike(r"^[A-Za-z_]\w*$")), F.lit(0))
+    found = rows.select("service", "file_path", F.col("no").alias("line"), _method(F.col("h.method")).alias("method"), url.alias("url"), variable.alias("variable"), F.substring(F.trim("line"), 1, 200).alias("raw"), "h.pattern")
+    return found.filter("url is not null or variable is not null")
 
 
 def url_variables(files: DataFrame) -> DataFrame:
@@ -178,7 +202,7 @@ def resolve(calls: DataFrame, provided: DataFrame) -> DataFrame:
     its own first parts: an equi join, after which the pattern is tried. The first endpoint by ``ord`` wins; calls without
     one are left out. A path that a service offers in many files is one endpoint, so a call meets it once.
     """
-    c = calls.withColumn("call_path", call_path(F.col("url"))).filter("call_path is not null")
+    c = checkpointed(calls.withColumn("call_path", call_path(F.col("url"))).filter("call_path is not null"))  # what finds calls runs once for both uses
     distinct = c.select("service", "call_path").distinct().withColumn("k", F.split(normal(F.col("call_path")), "/"))
     starts = F.transform(F.sequence(F.lit(0), F.size("k")), lambda n: F.array_join(F.slice("k", F.lit(1), n), "/"))
     distinct = distinct.select("service", "call_path", F.size("k").alias("parts"), F.explode(F.array_distinct(starts)).alias("lead"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.dialect import SPARK, run
 from strata.operators import context, contracts, conventions, decisions, drift, intents, render, services, usage, workspace
+from strata.operators.lineage import checkpointed
 from strata.sources.records import CONTRACT, INTENT
 from strata.sources.relations import with_relations
 
@@ -373,8 +374,10 @@ def commit_candidates(spark, d):
 
 
 def _code(spark, d):
-    """Dealt out: the texts are made from few bytes of ``part``, so that one task would read and match most of them."""
-    return rel(spark, d, "select service, file_path, content, k from service_file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    """Keys dealt out: the texts are made from few bytes of ``part``, so that one task would make, read and match most of them."""
+    sql = with_relations(SPARK, "select service, file_path, content, k from service_file")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return run(spark, d, sql.replace("from $part", f"from (select /*+ repartition({n}, p_partkey) */ p_partkey from $part)"))
 
 
 def _provided(spark, d):
@@ -402,21 +405,23 @@ def event_contracts(spark, d):
     return services.events(_code(spark, d)).select("service", "file_path", "event", "direction")
 
 
-def _depends(spark, d):
-    return services.resolve(services.outbound_calls(_code(spark, d)).select("service", "file_path", "url"), _provided(spark, d))
+def _depends(spark, d, provided):
+    return services.resolve(services.outbound_calls(_code(spark, d)).select("service", "file_path", "url"), provided)
 
 
 def resolve_dependencies(spark, d):
-    return _depends(spark, d).select("service", "file_path", "provider", "endpoint", "is_critical")
+    return _depends(spark, d, _provided(spark, d)).select("service", "file_path", "provider", "endpoint", "is_critical")
 
 
 def service_map(spark, d):
-    m = services.service_map(_code(spark, d), _provided(spark, d), _depends(spark, d))
+    provided = checkpointed(_provided(spark, d))  # used twice
+    m = services.service_map(_code(spark, d), provided, _depends(spark, d, provided))
     return m.select("service", "n_endpoints", F.array_join("depends_on", ",").alias("depends_on"), F.array_join("depended_on_by", ",").alias("depended_on_by"))
 
 
 def cross_service_impact(spark, d):
-    return services.impact(_provided(spark, d), _depends(spark, d)).select("service", "endpoint", "affected", F.array_join("services", ",").alias("services"), "risk")
+    provided = checkpointed(_provided(spark, d))  # used twice
+    return services.impact(provided, _depends(spark, d, provided)).select("service", "endpoint", "affected", F.array_join("services", ",").alias("services"), "risk")
 
 
 def service_scan(spark, d):
